@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, chat, quality, token_counts, url_filter
+from kinweave.llm import bpe, chat, decontaminate, quality, token_counts, url_filter
 from kinweave.llm.common import read
 
 
@@ -20,6 +20,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("n_lines")
 
@@ -80,6 +84,21 @@ s AS (SELECT source, (failures + mean * weight) / (n + weight) > 0.5 AS strict F
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (strict AND failed) AS kept
 FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source"""
 
+_OP4_SQL = f"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT item_id::VARCHAR AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g
+        FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item, n, i FROM grams JOIN win USING (n, g)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
 _OP10_SQL = r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))),
@@ -95,4 +114,4 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(lost) AS loss_cha
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _op2_sql(), "op7_quality_rules": _OP7_SQL, "op10_chat_format": _OP10_SQL}
+    return {"op2_url_filters": _op2_sql(), "op4_decontamination": _OP4_SQL, "op7_quality_rules": _OP7_SQL, "op10_chat_format": _OP10_SQL}
