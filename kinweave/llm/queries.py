@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, chat, decontaminate, quality, token_counts, url_filter
+from kinweave.llm import bpe, chat, decontaminate, minhash, quality, token_counts, url_filter
 from kinweave.llm.common import read
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), keep=["page_id"])
 
