@@ -10,6 +10,9 @@ needs no check, so verification stays near one pair a class even in groups of th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,16 @@ from kinweave.llm.common import LOWER_TABLE, fresh, map_texts
 from kinweave.operators.components import connected_components
 from kinweave.session import Scratch
 
-#: Production parameters. 16 trees of 6 values: a pair at 0.85 shares two leading values in no tree with probability 1e-9.
-SHINGLE, TREES, DEPTH, MIN_DEPTH = 5, 16, 6, 2
+#: Production parameters. Each tree orders the classes by DEPTH of the VALUES minima, in an order of its own; a
+#: pair at 0.85 shares two leading values in none of 16 trees with probability 1e-9. The depth lets the order tell
+#: apart a crowd of thousands that share most values.
+SHINGLE, VALUES, TREES, DEPTH, MIN_DEPTH = 5, 128, 16, 16, 2
+#: Classes that met a neighbour lie in a crowd: they are sorted in this many more orders, where this prefix is asked for.
+CROWD_TREES, CROWD_DEPTH = 48, 5
 #: Neighbours taken on each side, and rounds of best-first verification before all remaining cross pairs are verified.
-NEIGHBOURS, BEST_ROUNDS = 2, 2
+NEIGHBOURS, BEST_ROUNDS = 4, 2
+#: Equal minima, of VALUES, that a candidate needs to be verified: 0.85 less 4.7 standard deviations, one wrong drop in a million.
+LEAST_EQUAL = 90
 #: Similarity as a whole-number ratio: 100 * intersection >= 85 * union.
 THRESHOLD = 85
 _CACHE = 500_000
@@ -50,8 +59,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _rng = np.random.default_rng(20240117)
 _STEP = _rng.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
-_MUL = _rng.integers(1, 1 << 31, TREES * DEPTH, np.uint32) | np.uint32(1)
-_XOR = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint32)
+_MUL = _rng.integers(1, 1 << 31, VALUES, np.uint32) | np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, VALUES, np.uint32)
+#: Which minima each tree looks at, first to last.
+ORDERS = np.array([_rng.permutation(VALUES)[:DEPTH] for _ in range(TREES + CROWD_TREES)])
 
 
 def shingles(text: str | None, hashes: dict, size: int = SHINGLE) -> np.ndarray:
@@ -70,13 +81,13 @@ def shingles(text: str | None, hashes: dict, size: int = SHINGLE) -> np.ndarray:
 
 
 def signature(items: np.ndarray) -> bytes:
-    """TREES * DEPTH minima, big-endian, so that byte order is value order."""
+    """The low halves of VALUES minima, big-endian, so that byte order is value order."""
     x = (items >> np.uint64(32)).astype(np.uint32)
     low = np.full(len(_MUL), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 512):
         v = (x[i : i + 512, None] ^ _XOR) * _MUL
         np.minimum(low, v.min(axis=0), out=low)
-    return low.astype(">u4").tobytes()
+    return low.astype(np.uint16).astype(">u2").tobytes()
 
 
 def _sign():
@@ -95,8 +106,8 @@ def _sign():
 
 
 def neighbour_pairs(keys: np.ndarray, trees: np.ndarray, nodes: np.ndarray, reach: int = NEIGHBOURS, least: int = MIN_DEPTH):
-    """Pairs of rows up to `reach` apart in sorted order with a common prefix of at least `least` values: (a, b, prefix)."""
-    a, b, p = [], [], []
+    """Pairs of rows up to `reach` apart in sorted order with a common prefix of at least `least` values: (a, b)."""
+    a, b = [], []
     for s in range(1, reach + 1):
         if len(keys) <= s:
             break
@@ -104,19 +115,18 @@ def neighbour_pairs(keys: np.ndarray, trees: np.ndarray, nodes: np.ndarray, reac
         i = np.flatnonzero((prefix >= least) & (trees[:-s] == trees[s:]) & (nodes[:-s] != nodes[s:]))
         a.append(np.minimum(nodes[i], nodes[i + s]))
         b.append(np.maximum(nodes[i], nodes[i + s]))
-        p.append(prefix[i])
-    return [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b, p)]
+    return [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], least: int = MIN_DEPTH) -> Iterator[pa.RecordBatch]:
     """Pairs of neighbours in one sorted partition, and its first and last rows for the partitions beside it."""
     me, head, tail = TaskContext.get().partitionId(), None, None
-    names = ["a", "b", "prefix", "border", "tree", "key"]
+    names = ["a", "b", "border", "tree", "key"]
 
-    def out(a, b, p, border=None, tree=None, key=None):
+    def out(a, b, border=None, tree=None, key=None):
         n = len(a)
         return pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.int32()), pa.array(border or [None] * n, pa.int32()), pa.array(tree or [None] * n, pa.int32()), pa.array(key or [None] * n, pa.binary())], names=names
+            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(border or [None] * n, pa.int32()), pa.array(tree or [None] * n, pa.int32()), pa.array(key or [None] * n, pa.binary())], names=names
         )
 
     for batch in batches:
@@ -129,47 +139,57 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(zip(tree, key, node))
         if head is None or len(head) < NEIGHBOURS:
             head = ((head or []) + rows[seen:])[:NEIGHBOURS]
-        keys = np.frombuffer(b"".join(key), ">u4").reshape(len(key), DEPTH)
-        a, b, p = neighbour_pairs(keys, np.array(tree), np.array(node, np.int64))
-        # Pairs among the carried rows were sent with their own batch; sums of prefixes must not count them again.
-        if seen:
-            again = neighbour_pairs(keys[:seen], np.array(tree[:seen]), np.array(node[:seen], np.int64))
-            done = set(zip(again[0].tolist(), again[1].tolist()))
-            mask = np.array([(x, y) not in done for x, y in zip(a.tolist(), b.tolist())], bool)
-            a, b, p = a[mask], b[mask], p[mask]
-        yield out(a, b, p)
+        keys = np.frombuffer(b"".join(key), ">u2").reshape(len(key), DEPTH)
+        a, b = neighbour_pairs(keys, np.array(tree), np.array(node, np.int64), least=least)
+        yield out(a, b)
         tail = rows[-NEIGHBOURS:]
     if tail:
         ends = [(r, me) for r in head] + [(r, me + 1) for r in tail]
-        yield out([r[2] for r, _ in ends], [0] * len(ends), [0] * len(ends), [x for _, x in ends], [int(r[0]) for r, _ in ends], [r[1] for r, _ in ends])
+        yield out([r[2] for r, _ in ends], [0] * len(ends), [x for _, x in ends], [int(r[0]) for r, _ in ends], [r[1] for r, _ in ends])
 
 
-def _border_pairs(batches):
+def _border_pairs(batches, least: int = MIN_DEPTH):
     for batch in batches:
         rows = batch.to_pydict()
-        a, b, p = [], [], []
+        a, b = [], []
         for members in rows["rows"]:
             members = sorted({(m["tree"], m["key"], m["a"]) for m in members})
-            keys = np.frombuffer(b"".join(m[1] for m in members), ">u4").reshape(len(members), DEPTH)
-            for column, made in zip((a, b, p), neighbour_pairs(keys, np.array([m[0] for m in members]), np.array([m[2] for m in members], np.int64))):
+            keys = np.frombuffer(b"".join(m[1] for m in members), ">u2").reshape(len(members), DEPTH)
+            for column, made in zip((a, b), neighbour_pairs(keys, np.array([m[0] for m in members]), np.array([m[2] for m in members], np.int64), least=least)):
                 column += made.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.int32())], names=["a", "b", "prefix"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, w) for neighbours in some tree, a < b; w sums their common prefixes over the trees."""
-    slices = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))
+def candidates(classes: DataFrame, scratch: Scratch, orders: np.ndarray, least: int) -> DataFrame:
+    """(a, b), a < b, for neighbours in some tree whose common prefix has `least` values."""
+    slices = F.array(*[F.concat(*[F.substring("sig", 2 * int(i) + 1, 2) for i in order]) for order in orders])
     rows = classes.select("node", F.posexplode(slices).alias("tree", "key")).select("tree", "key", "node")
     rows = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    scanned = scratch.save(rows.mapInArrow(_scan, "a long, b long, prefix int, border int, tree int, key binary"))
+    scanned = scratch.save(rows.mapInArrow(partial(_scan, least=least), "a long, b long, border int, tree int, key binary"))
     # A border has a few rows of the two partitions at it.
     border = scanned.where("border is not null").groupBy("border").agg(F.collect_list(F.struct("tree", "key", "a")).alias("rows")).select("rows")
-    pairs = scanned.where("border is null").select("a", "b", "prefix").union(border.mapInArrow(_border_pairs, "a long, b long, prefix int"))
-    out = scratch.save(pairs.groupBy("a", "b").agg(F.sum("prefix").alias("w")))
+    pairs = scanned.where("border is null").select("a", "b").union(border.mapInArrow(partial(_border_pairs, least=least), "a long, b long"))
+    out = scratch.save(pairs.select("a", "b").distinct())
     scratch.drop(scanned)
     return out
 
 
+def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, VALUES) for i in (2, 3))
+        w = (x == y).sum(axis=1).astype(np.int32)
+        keep = pa.array(w >= LEAST_EQUAL)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(w[w >= LEAST_EQUAL])], names=["a", "b", "w"])
+
+
+def likely(pairs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, w) of the pairs whose signatures agree in w >= LEAST_EQUAL values."""
+    sigs = classes.select("node", "sig")
+    half = pairs.join(sigs.hint("merge"), pairs["a"] == sigs["node"]).select("a", "b", F.col("sig").alias("x"))
+    both = half.join(sigs.withColumnRenamed("sig", "y").hint("merge"), half["b"] == F.col("node")).select("a", "b", "x", "y")
+    return scratch.save(both.mapInArrow(_estimate, "a long, b long, w int"))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Words()
     for batch in batches:
@@ -192,7 +212,10 @@ def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
 
 def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for the classes that have a verified link."""
-    open_pairs, found = candidates(classes, scratch), None
+    first = candidates(classes, scratch, ORDERS[:TREES], MIN_DEPTH)
+    met = scratch.save(first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    more = candidates(classes.join(scratch.small(met), "node", "left_semi"), scratch, ORDERS[TREES:], CROWD_DEPTH)
+    open_pairs, found = likely(first.union(more).distinct(), classes, scratch), None
     links = None
     for k in range(BEST_ROUNDS + 1):
         if found is None:
@@ -209,6 +232,8 @@ def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
             picked = scratch.save(sides.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct())
         else:
             picked = scratch.save(cross.select("a", "b"))
+        if os.environ.get("KW_DEBUG"):
+            print(k, "open", open_pairs.count(), "cross", cross.count(), "picked", picked.count(), "met", met.count(), flush=True)
         good = verify(picked, texts, scratch)
         links = good if links is None else links.union(good)
         found = connected_components(links, scratch)
