@@ -1,6 +1,69 @@
-STAGES = []
+"""The corpus pipeline: documents in, tokenized clean documents out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result to the
+shared folder and reads it back as the next stage's docs. All stages but the last return
+the columns of documents."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinweave.llm import bpe, decontaminate, minhash, pii, quality
+from kinweave.llm.common import configure, read
+from kinweave.session import Scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality rules or their host's verdict reject."""
+    configure(spark)
+    judged = quality.judge(docs)
+    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group."""
+    configure(spark)
+    grouped = minhash.near_duplicates(docs)
+    return grouped.where(F.col(grouped.columns[-1])).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that benchmark items contaminate."""
+    judged = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return judged.where(~F.col(judged.columns[-1])).select(*docs.columns)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in texts by placeholders; n_chars follows."""
+    configure(spark)
+    found = pii.detect(docs, redacted=True)
+    text = F.col(found.columns[-1])
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    configure(spark)
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("private_data", private_data),
+    ("bpe", encode),
+]
+
+#: The near-duplicate and personal-data stages have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return docs

@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, chat, decontaminate, minhash, quality, suffix_dedup, token_counts, url_filter
+from kinweave.llm import bpe, chat, decontaminate, html_text, minhash, pii, quality, suffix_dedup, token_counts, url_filter
 from kinweave.llm.common import read
 
 
@@ -28,6 +27,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("n_lines")
 
