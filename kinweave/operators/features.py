@@ -45,7 +45,7 @@ def _features(a: Column, b: Column) -> dict[str, Column]:
         x, y = numbers(a, column), numbers(b, column)
         out |= {f"{name}_jaccard": X.jaccard(x, y), f"{name}_overlap": X.overlap(x, y)}
     out |= {
-        "last_event_diff_days": F.abs(F.unix_micros(a["last_event_date"]) - F.unix_micros(b["last_event_date"])) / 8.64e10,
+        "last_event_diff_days": F.abs(F.unix_micros(a["last_event_date"].cast("timestamp")) - F.unix_micros(b["last_event_date"].cast("timestamp"))) / 8.64e10,
         "day_overlap_ratio": X.jaccard(a["active_days"], b["active_days"], empty=0.0),
         **{f"both_{f}": (F.coalesce(a[f], F.lit(False)) & F.coalesce(b[f], F.lit(False))).cast("int") for f in BOTH},
         "country_conflict": ((text(a, "country") != "") & (text(b, "country") != "") & (text(a, "country") != text(b, "country"))).cast("int"),
