@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), c.alias("id"))
         both = left.select("a", "b").union(left.select("b", "a"))
         parents = scratch.save(both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select(F.col("a").alias("node_"), F.least("m", rank(F.col("a")))["id"].alias("parent")))
-        near = scratch.small(parents)
+        near = scratch.large(parents)
         ends = left.join(near, left["a"] == near["node_"]).select(F.col("parent").alias("pa"), "b")
         ends = ends.join(near, ends["b"] == near["node_"]).select("pa", F.col("parent").alias("pb")).where("pa <> pb")
         before, left = left, scratch.save(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())

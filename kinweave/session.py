@@ -91,6 +91,11 @@ class Scratch:
         for df in dfs:
             _delete(self.spark, self.saved[id(df)][1])
 
+    @staticmethod
+    def large(df: DataFrame) -> DataFrame:
+        """A side that grows with the corpus: always a shuffle join, so plans are alike at every size."""
+        return df.hint("merge")
+
     def small(self, df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
         """The saved table, marked for broadcast if its measured size is within the limit.
 
