@@ -54,7 +54,7 @@ def find_hits(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id
     found = places.join(scratch.small(prefix), "word").where((start >= 0) & (start + F.col("len") <= F.col("n")))
     per_doc = scratch.save(found.groupBy("k", "h").agg(F.collect_set(F.struct(start.alias("s"), "len", "win")).alias("c")))
 
-    near = scratch.small(per_doc)
+    near = scratch.large(per_doc)
     joined = keyed.join(near, keyed["k"].eqNullSafe(per_doc["k"]) & (keyed["h"] == per_doc["h"])).select(keyed["k"], keyed["h"], words(F.col("x")).alias("w"), "c")
     exact = F.filter("c", lambda c: F.array_join(F.slice("w", c.s + 1, c.len), " ") == c.win)
     hits = scratch.save(joined.dropDuplicates(["k", "h"]).select("k", "h", F.array_sort(exact).alias("c")).where(F.size("c") > 0))
@@ -83,7 +83,7 @@ def decontaminate(
     scratch = Scratch(docs.sparkSession)
     hits = find_hits(docs, items, doc_id, text, item_id, item_text, scratch)
     names = fresh(docs.columns, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    right = scratch.small(hits)
+    right = scratch.large(hits)
     joined = docs.join(right, docs[doc_id].eqNullSafe(hits["k"]) & (F.xxhash64(docs[text]) == hits["h"]), "left")
     n_words, n_hit = F.size(words(docs[text])).cast("long"), F.coalesce(hits["n_hit"], F.lit(0))
     made = [n_words, n_hit, F.coalesce(hits["n_items"], F.lit(0)), F.coalesce(hits["items_sha256"], F.sha2(F.lit(""), 256)), (n_hit > 0) & (20 * n_hit >= MIN_TWENTIETHS * n_words)]

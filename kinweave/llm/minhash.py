@@ -12,8 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
-import os
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -203,7 +201,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) of the saved pairs whose full sets are similar. Only texts of wanted nodes are moved."""
-    wanted = scratch.small(pairs)
+    wanted = scratch.large(pairs)
     left = texts.join(wanted, texts["node"] == pairs["a"]).select("a", "b", F.col("text").alias("x"))
     right = texts.join(wanted, texts["node"] == pairs["b"]).select("a", "b", F.col("text").alias("y"))
     both = left.join(right.hint("merge"), ["a", "b"]).select("a", "b", "x", "y")
@@ -214,14 +212,17 @@ def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for the classes that have a verified link."""
     first = candidates(classes, scratch, ORDERS[:TREES], MIN_DEPTH)
     met = scratch.save(first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    more = candidates(classes.join(scratch.small(met), "node", "left_semi"), scratch, ORDERS[TREES:], CROWD_DEPTH)
+    more = candidates(classes.join(scratch.large(met), "node", "left_semi"), scratch, ORDERS[TREES:], CROWD_DEPTH)
     open_pairs, found = likely(first.union(more).distinct(), classes, scratch), None
+    # Only texts that may be compared are moved, once; later joins read this table.
+    ends = scratch.save(open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = scratch.save(texts.join(scratch.large(ends), "node", "left_semi"))
     links = None
     for k in range(BEST_ROUNDS + 1):
         if found is None:
             cross = open_pairs.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb"))
         else:
-            near = scratch.small(found)
+            near = scratch.large(found)
             x = open_pairs.join(near, open_pairs["a"] == near["node"], "left").select("a", "b", "w", F.coalesce("component", "a").alias("ca"))
             cross = x.join(near, x["b"] == near["node"], "left").select("a", "b", "w", "ca", F.coalesce("component", "b").alias("cb")).where("ca <> cb")
         cross = scratch.save(cross)
@@ -232,12 +233,10 @@ def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
             picked = scratch.save(sides.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct())
         else:
             picked = scratch.save(cross.select("a", "b"))
-        if os.environ.get("KW_DEBUG"):
-            print(k, "open", open_pairs.count(), "cross", cross.count(), "picked", picked.count(), "met", met.count(), flush=True)
         good = verify(picked, texts, scratch)
         links = good if links is None else links.union(good)
         found = connected_components(links, scratch)
-        open_pairs = scratch.save(cross.join(scratch.small(picked), ["a", "b"], "left_anti").select("a", "b", "w"))
+        open_pairs = scratch.save(cross.join(scratch.large(picked), ["a", "b"], "left_anti").select("a", "b", "w"))
         scratch.drop(cross)
     return found if found is not None else classes.select("node", F.col("node").alias("component")).limit(0)
 
@@ -260,11 +259,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = scratch.save(real.groupBy(*key).agg(F.min(F.struct("id_", "sig")).alias("m"), F.count("*").alias("copies")).select(*key, "m.id_", "m.sig", "copies").withColumnRenamed("id_", "node"))
     texts = base.select(F.col("id_").alias("node"), "text").where("node is not null")
     found = scratch.save(group(classes.select("node", "sig"), texts, scratch))
-    near = scratch.small(found)
+    near = scratch.large(found)
     labelled = classes.join(near, classes["node"] == near["node"], "left").select(*key, F.coalesce("component", classes["node"]).alias("component"), "copies", F.col("component").isNotNull().alias("linked"))
     # Only classes whose component may differ from the document's own id are looked up.
     labels = scratch.save(labelled.where("copies > 1 or linked").select(*key, "component"))
-    own = signed.select("id_", *key).join(scratch.small(labels), key, "left").select("id_", "n_", F.coalesce("component", "id_").alias("c_")).distinct()
+    own = signed.select("id_", *key).join(scratch.large(labels), key, "left").select("id_", "n_", F.coalesce("component", "id_").alias("c_")).distinct()
     by_id = scratch.save(own.where("id_ is not null").groupBy("id_").agg(F.max("n_").alias("n_"), F.min("c_").alias("c_")))
     names = fresh(docs.columns, "n_shingles", "component_id", "kept")
     if keep == [doc_id]:
@@ -272,7 +271,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows = signed.select(F.col("id_").cast(docs.schema[doc_id].dataType).alias(doc_id), F.col("id_"), F.col("n_").alias("own_n"))
     else:
         rows = docs.select(*keep, F.col(doc_id).cast("long").alias("id_"), F.lit(None).cast("long").alias("own_n"))
-    right = scratch.small(by_id).select(F.col("id_").alias("k_"), "n_", "c_")
+    right = scratch.large(by_id).select(F.col("id_").alias("k_"), "n_", "c_")
     out = rows.join(right, rows["id_"] == F.col("k_"), "left")
     made = [F.coalesce("own_n", "n_", F.lit(0)), F.col("c_"), F.coalesce(F.col("c_") == F.col("id_"), F.lit(True))]
     return out.select(*[rows[c] for c in keep], *[c.alias(n) for c, n in zip(made, names)])

@@ -322,30 +322,30 @@ def repeated_ranges(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -
     found = scratch.save(keyed.mapInArrow(_segment_rows, "k long, h long, lo int, n short, b long, c long"))
     # Most strings' buckets hold one segment: these fall away first.
     shared = scratch.save(found.groupBy("b").agg(F.count("*").alias("m")).where("m > 1").select("b"))
-    segs = scratch.save(found.join(scratch.small(shared), "b", "left_semi"))
+    segs = scratch.save(found.join(scratch.large(shared), "b", "left_semi"))
     scratch.drop(found)
     pieces = scratch.save(segs.groupBy("b", "c", "n").agg(F.count("*").alias("copies"), F.min(F.struct("k", "h", "lo")).alias("at")).select("b", "c", "n", "copies", "at.*"))
     width = scratch.save(pieces.groupBy("b").agg(F.count("*").alias("pieces")).where("pieces > 1"))
     # A bucket of one distinct piece needs no sort: its copies are equal throughout.
-    mixed = pieces.join(scratch.small(width), "b").select("b", "c", "n", "copies", "k", "h", "lo")
+    mixed = pieces.join(scratch.large(width), "b").select("b", "c", "n", "copies", "k", "h", "lo")
     wanted = scratch.save(mixed.groupBy("k", "h").agg(F.collect_list(F.struct("b", "c", "n", "lo", "copies")).alias("wanted")))
-    near = scratch.small(wanted)
+    near = scratch.large(wanted)
     cut = keyed.join(near, keyed["k"].eqNullSafe(near["k"]) & (keyed["h"] == near["h"])).select("x", "wanted")
     texts = scratch.save(cut.mapInArrow(_cut_pieces, "b long, c long, copies long, piece binary"))
     hot_buckets = scratch.save(width.where(F.col("pieces") > HOT).select("b"))
-    cold = texts.join(scratch.small(hot_buckets), "b", "left_anti").repartition("b").sortWithinPartitions("b")
+    cold = texts.join(scratch.large(hot_buckets), "b", "left_anti").repartition("b").sortWithinPartitions("b")
     sorted_runs = scratch.save(cold.mapInArrow(_sort_buckets, "b long, c long, runs binary"))
     runs = sorted_runs
     if not hot_buckets.isEmpty():
-        strings = scratch.save(texts.join(scratch.small(hot_buckets), "b", "left_semi").mapInArrow(_hash_strings, "b long, c long, copies long, off int, w1 long, w2 long"))
+        strings = scratch.save(texts.join(scratch.large(hot_buckets), "b", "left_semi").mapInArrow(_hash_strings, "b long, c long, copies long, off int, w1 long, w2 long"))
         twice = scratch.save(strings.groupBy("w1", "w2").agg(F.sum("copies").alias("m")).where("m > 1").select("w1", "w2"))
-        hit = strings.join(scratch.small(twice), ["w1", "w2"], "left_semi").groupBy("b", "c").agg(F.collect_list("off").alias("offs"))
+        hit = strings.join(scratch.large(twice), ["w1", "w2"], "left_semi").groupBy("b", "c").agg(F.collect_list("off").alias("offs"))
         runs = runs.union(hit.mapInArrow(_pack_runs, "b long, c long, runs binary"))
     runs = scratch.save(runs)
-    alone = scratch.save(pieces.join(scratch.small(width), "b", "left_anti").select("b", "c"))
-    whole = segs.join(scratch.small(alone), ["b", "c"], "left_semi").select("k", "h", "lo", F.col("n").cast("int").alias("n"))
+    alone = scratch.save(pieces.join(scratch.large(width), "b", "left_anti").select("b", "c"))
+    whole = segs.join(scratch.large(alone), ["b", "c"], "left_semi").select("k", "h", "lo", F.col("n").cast("int").alias("n"))
     whole = whole.mapInArrow(_whole_runs, "k long, h long, lo int, runs binary")
-    partly = segs.join(scratch.small(runs), ["b", "c"]).select("k", "h", "lo", "runs")
+    partly = segs.join(scratch.large(runs), ["b", "c"]).select("k", "h", "lo", "runs")
     per_doc = whole.union(partly).groupBy("k", "h").agg(F.collect_set(F.struct("lo", "runs")).alias("parts"))
     return scratch.save(per_doc.mapInArrow(_merge_ranges, "k long, h long, ranges binary"))
 
@@ -378,7 +378,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stays empty; long texts are searched whole."""
     keep = docs.columns if keep is None else keep
     scratch = Scratch(docs.sparkSession)
-    ranges = scratch.small(repeated_ranges(docs, doc_id, text, scratch))
+    ranges = scratch.large(repeated_ranges(docs, doc_id, text, scratch))
     k, h, r, x = fresh(docs.columns, "k_", "h_", "ranges_", "text_")
     right = ranges.select(F.col("k").alias(k), F.col("h").alias(h), F.col("ranges").alias(r))
     joined = docs.join(right, docs[doc_id].cast("long").eqNullSafe(F.col(k)) & (F.xxhash64(docs[text]) == F.col(h)), "left").select(*[docs[c] for c in keep], docs[text].alias(x), r)
