@@ -25,11 +25,12 @@ from kinweave.operators.components import connected_components
 from kinweave.session import Scratch
 
 #: Production parameters. Each tree orders the classes by DEPTH of the VALUES minima, in an order of its own; a
-#: pair at 0.85 shares two leading values in none of 16 trees with probability 1e-9. The depth lets the order tell
+#: pair at 0.85 shares three leading values in none of 16 trees with probability 2e-7. The depth lets the order tell
 #: apart a crowd of thousands that share most values.
-SHINGLE, VALUES, TREES, DEPTH, MIN_DEPTH = 5, 128, 16, 16, 2
-#: Classes that met a neighbour lie in a crowd: they are sorted in this many more orders, where this prefix is asked for.
-CROWD_TREES, CROWD_DEPTH = 48, 5
+SHINGLE, VALUES, TREES, DEPTH, MIN_DEPTH = 5, 128, 16, 16, 3
+#: Classes that met a neighbour lie in a crowd: they are sorted in this many more orders, where this prefix is asked for;
+#: a pair at 0.85 shares it in none of 48 orders with probability 3e-7.
+CROWD_TREES, CROWD_DEPTH = 48, 8
 #: Neighbours taken on each side, and rounds of best-first verification before all remaining cross pairs are verified.
 NEIGHBOURS, BEST_ROUNDS = 4, 2
 #: Equal minima, of VALUES, that a candidate needs to be verified: 0.85 less 4.7 standard deviations, one wrong drop in a million.
