@@ -83,8 +83,10 @@ def decontaminate(
     scratch = Scratch(docs.sparkSession)
     hits = find_hits(docs, items, doc_id, text, item_id, item_text, scratch)
     names = fresh(docs.columns, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    right = scratch.large(hits)
-    joined = docs.join(right, docs[doc_id].eqNullSafe(hits["k"]) & (F.xxhash64(docs[text]) == hits["h"]), "left")
-    n_words, n_hit = F.size(words(docs[text])).cast("long"), F.coalesce(hits["n_hit"], F.lit(0))
+    # Measured before the join, so that a text moves only where it is kept.
+    id_, hash_, n_ = fresh([*docs.columns, *names, *hits.columns], "id_of", "hash_of", "n_of")
+    measured = docs.select(*keep, F.col(doc_id).alias(id_), F.xxhash64(text).alias(hash_), F.size(words(F.col(text))).cast("long").alias(n_))
+    joined = measured.join(scratch.large(hits), measured[id_].eqNullSafe(hits["k"]) & (measured[hash_] == hits["h"]), "left")
+    n_words, n_hit = measured[n_], F.coalesce(hits["n_hit"], F.lit(0))
     made = [n_words, n_hit, F.coalesce(hits["n_items"], F.lit(0)), F.coalesce(hits["items_sha256"], F.sha2(F.lit(""), 256)), (n_hit > 0) & (20 * n_hit >= MIN_TWENTIETHS * n_words)]
-    return joined.select(*[docs[c] for c in keep], *[c.alias(n) for c, n in zip(made, names)])
+    return joined.select(*[measured[c] for c in keep], *[c.alias(n) for c, n in zip(made, names)])

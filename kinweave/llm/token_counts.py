@@ -3,7 +3,7 @@
 Tier one is a compact table of frequent pre-tokens and their token counts, broadcast to all
 tasks; its size is a parameter and doesn't grow with the corpus. Tier two is a bounded cache in
 each Python worker, filled by encoding what tier one misses. No pre-token is ever shuffled.
-The table is fitted on a bounded, hash-chosen sample of documents; it only saves time, since
+The table is fitted on a bounded, seeded random sample of documents; it only saves time, since
 counts are the same whatever it holds."""
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from kinweave.llm.pretokens import Splitter, tokenizer
 
 #: Entries of the broadcast table, rows of the sample it is fitted on, entries of a worker's cache.
 TABLE_SIZE, SAMPLE_DOCS, CACHE_SIZE = 1 << 15, 4096, 400_000
-SAMPLE_TASKS = 8
+SAMPLE_TASKS, SAMPLE_SEED = 8, 11
 
 
 def lengths_of(path: str, words: list[str]) -> list[int]:
@@ -45,14 +45,15 @@ def unpack(table: tuple[bytes, bytes, bytes]) -> dict[str, int]:
 def frequent_table(docs: DataFrame, text: str, path: str, size: int = TABLE_SIZE, sample_docs: int = SAMPLE_DOCS) -> tuple[bytes, bytes, bytes]:
     """The commonest pre-tokens of a sample of about `sample_docs` documents, at most `size` of them.
 
-    Each of a fixed number of tasks sends its own commonest pre-tokens, so what reaches the
+    Rows are drawn one by one, so copies of one text can't swell the sample; all tasks scan, and
+    only the drawn rows are dealt out anew. Each of a fixed number of tasks sends its own commonest pre-tokens, so what reaches the
     driver is bounded by the parameters."""
     total = docs.count()
     if not total:
         return pack([], [])
     per_task = 2 * size // SAMPLE_TASKS
     rate = min(1.0, sample_docs / total)
-    picked = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
+    picked = docs.select(F.col(text).alias("text")).where(F.rand(SAMPLE_SEED) < rate).repartition(SAMPLE_TASKS)
 
     def count(batches):
         split, seen = Splitter(path), Counter()
@@ -65,7 +66,7 @@ def frequent_table(docs: DataFrame, text: str, path: str, size: int = TABLE_SIZE
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["word", "n"])
 
     total_of: Counter = Counter()
-    for row in picked.coalesce(SAMPLE_TASKS).mapInArrow(count, "word string, n long").toLocalIterator():
+    for row in picked.mapInArrow(count, "word string, n long").toLocalIterator():
         if len(row.word) <= 64:
             total_of[row.word] += row.n
     words = [w for w, _ in total_of.most_common(size)]
