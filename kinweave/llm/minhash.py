@@ -5,7 +5,9 @@ the classes are sorted by their signature slice, and neighbours in that order ar
 the longest common prefixes, so the depth at which two classes meet adapts to how crowded the
 region is. Neighbours that share at least MIN_DEPTH values are candidates. Candidates are
 verified on full shingle sets, best first for each component: a pair inside one component
-needs no check, so verification stays near one pair a class even in groups of thousands."""
+needs no check, so verification stays near one pair a class even in groups of thousands.
+Classes that met a neighbour are sorted in more orders after that, where only neighbours of
+different components so far are candidates."""
 
 from __future__ import annotations
 
@@ -103,21 +105,21 @@ def _sign():
     return work
 
 
-def neighbour_pairs(keys: np.ndarray, trees: np.ndarray, nodes: np.ndarray, reach: int = NEIGHBOURS, least: int = MIN_DEPTH):
-    """Pairs of rows up to `reach` apart in sorted order with a common prefix of at least `least` values: (a, b)."""
+def neighbour_pairs(keys: np.ndarray, trees: np.ndarray, nodes: np.ndarray, parts: np.ndarray, reach: int = NEIGHBOURS, least: int = MIN_DEPTH):
+    """Pairs of rows of different components up to `reach` apart in sorted order with a common prefix of at least `least` values: (a, b)."""
     a, b = [], []
     for s in range(1, reach + 1):
         if len(keys) <= s:
             break
         prefix = np.cumprod(keys[:-s] == keys[s:], axis=1).sum(axis=1)
-        i = np.flatnonzero((prefix >= least) & (trees[:-s] == trees[s:]) & (nodes[:-s] != nodes[s:]))
+        i = np.flatnonzero((prefix >= least) & (trees[:-s] == trees[s:]) & (parts[:-s] != parts[s:]))
         a.append(np.minimum(nodes[i], nodes[i + s]))
         b.append(np.maximum(nodes[i], nodes[i + s]))
     return [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], least: int = MIN_DEPTH) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours in one sorted partition, and its first and last rows for the partitions beside it."""
+    """Pairs of neighbours in one sorted partition, and its first and last rows (node, component) for the partitions beside it."""
     me, head, tail = TaskContext.get().partitionId(), None, None
     names = ["a", "b", "border", "tree", "key"]
 
@@ -128,22 +130,20 @@ def _scan(batches: Iterator[pa.RecordBatch], least: int = MIN_DEPTH) -> Iterator
         )
 
     for batch in batches:
-        tree, key, node = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        if tail:
-            seen = len(tail)
-            tree, key, node = [r[0] for r in tail] + tree, [r[1] for r in tail] + key, [r[2] for r in tail] + node
-        else:
-            seen = 0
-        rows = list(zip(tree, key, node))
+        tail, seen = tail or [], len(tail or [])
+        rows = tail + list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+        if not rows:
+            continue
+        tree, key, node, part = zip(*rows)
         if head is None or len(head) < NEIGHBOURS:
             head = ((head or []) + rows[seen:])[:NEIGHBOURS]
         keys = np.frombuffer(b"".join(key), ">u2").reshape(len(key), DEPTH)
-        a, b = neighbour_pairs(keys, np.array(tree), np.array(node, np.int64), least=least)
+        a, b = neighbour_pairs(keys, np.array(tree), np.array(node, np.int64), np.array(part, np.int64), least=least)
         yield out(a, b)
         tail = rows[-NEIGHBOURS:]
     if tail:
         ends = [(r, me) for r in head] + [(r, me + 1) for r in tail]
-        yield out([r[2] for r, _ in ends], [0] * len(ends), [x for _, x in ends], [int(r[0]) for r, _ in ends], [r[1] for r, _ in ends])
+        yield out([r[2] for r, _ in ends], [r[3] for r, _ in ends], [x for _, x in ends], [int(r[0]) for r, _ in ends], [r[1] for r, _ in ends])
 
 
 def _border_pairs(batches, least: int = MIN_DEPTH):
@@ -151,21 +151,22 @@ def _border_pairs(batches, least: int = MIN_DEPTH):
         rows = batch.to_pydict()
         a, b = [], []
         for members in rows["rows"]:
-            members = sorted({(m["tree"], m["key"], m["a"]) for m in members})
+            members = sorted({(m["tree"], m["key"], m["a"], m["b"]) for m in members})
             keys = np.frombuffer(b"".join(m[1] for m in members), ">u2").reshape(len(members), DEPTH)
-            for column, made in zip((a, b), neighbour_pairs(keys, np.array([m[0] for m in members]), np.array([m[2] for m in members], np.int64), least=least)):
+            tree, _, node, part = (np.array(c) for c in zip(*members))
+            for column, made in zip((a, b), neighbour_pairs(keys, tree, node.astype(np.int64), part.astype(np.int64), least=least)):
                 column += made.tolist()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def candidates(classes: DataFrame, scratch: Scratch, orders: np.ndarray, least: int) -> DataFrame:
-    """(a, b), a < b, for neighbours in some tree whose common prefix has `least` values."""
+    """(a, b), a < b, for neighbours in some tree whose common prefix has `least` values; classes have node, sig and part, their component so far."""
     slices = F.array(*[F.concat(*[F.substring("sig", 2 * int(i) + 1, 2) for i in order]) for order in orders])
-    rows = classes.select("node", F.posexplode(slices).alias("tree", "key")).select("tree", "key", "node")
+    rows = classes.select("node", "part", F.posexplode(slices).alias("tree", "key")).select("tree", "key", "node", "part")
     rows = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     scanned = scratch.save(rows.mapInArrow(partial(_scan, least=least), "a long, b long, border int, tree int, key binary"))
     # A border has a few rows of the two partitions at it.
-    border = scanned.where("border is not null").groupBy("border").agg(F.collect_list(F.struct("tree", "key", "a")).alias("rows")).select("rows")
+    border = scanned.where("border is not null").groupBy("border").agg(F.collect_list(F.struct("tree", "key", "a", "b")).alias("rows")).select("rows")
     pairs = scanned.where("border is null").select("a", "b").union(border.mapInArrow(partial(_border_pairs, least=least), "a long, b long"))
     out = scratch.save(pairs.select("a", "b").distinct())
     scratch.drop(scanned)
@@ -208,16 +209,13 @@ def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(both.mapInArrow(_compare, "a long, b long, ok boolean").where("ok").select("a", "b").distinct())
 
 
-def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for the classes that have a verified link."""
-    first = candidates(classes, scratch, ORDERS[:TREES], MIN_DEPTH)
-    met = scratch.save(first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    more = candidates(classes.join(scratch.large(met), "node", "left_semi"), scratch, ORDERS[TREES:], CROWD_DEPTH)
-    open_pairs, found = likely(first.union(more).distinct(), classes, scratch), None
+def settle(open_pairs: DataFrame, texts: DataFrame, links: DataFrame | None, found: DataFrame | None, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links, found) after all candidates were verified or lie inside one component; found is (node, component)."""
+    if open_pairs.isEmpty():
+        return links, found
     # Only texts that may be compared are moved, once; later joins read this table.
     ends = scratch.save(open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     texts = scratch.save(texts.join(scratch.large(ends), "node", "left_semi"))
-    links = None
     for k in range(BEST_ROUNDS + 1):
         if found is None:
             cross = open_pairs.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb"))
@@ -238,6 +236,25 @@ def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
         found = connected_components(links, scratch)
         open_pairs = scratch.save(cross.join(scratch.large(picked), ["a", "b"], "left_anti").select("a", "b", "w"))
         scratch.drop(cross)
+    scratch.drop(texts)
+    return links, found
+
+
+def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) for the classes that have a verified link."""
+    first = candidates(classes.withColumn("part", F.col("node")), scratch, ORDERS[:TREES], MIN_DEPTH)
+    links, found = settle(likely(first, classes, scratch), texts, None, None, scratch)
+    met = scratch.save(first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    crowd = classes.join(scratch.large(met), "node", "left_semi")
+    if found is None:
+        crowd = crowd.withColumn("part", F.col("node"))
+    else:
+        near = scratch.large(found)
+        crowd = crowd.join(near, crowd["node"] == near["node"], "left").select(crowd["node"], "sig", F.coalesce("component", crowd["node"]).alias("part"))
+    more = candidates(crowd, scratch, ORDERS[TREES:], CROWD_DEPTH)
+    # Pairs of the first orders are settled.
+    more = more.join(scratch.large(first), ["a", "b"], "left_anti")
+    _, found = settle(likely(more, classes, scratch), texts, links, found, scratch)
     return found if found is not None else classes.select("node", F.col("node").alias("component")).limit(0)
 
 
