@@ -143,6 +143,15 @@ def test_skip_links_carry_labels():
     assert p[2].argmax() == 1 and np.allclose(p[1], 1 / 3)
 
 
+def test_long_tokens_and_many_variables(monkeypatch):
+    w = pii.weights()
+    text = "語" * 300_000 + " x7 a@b.org " * 50
+    whole = pii.find(text, w)
+    assert len(whole[0]) == 50 and whole[0][0][0] == 300_004
+    monkeypatch.setattr(pii, "BLOCK", 7)
+    assert pii.find(text, w) == whole
+
+
 def test_html(spark):
     rng = random.Random(99)
     made = [html_text.generate(rng) for _ in range(200)]
