@@ -197,22 +197,32 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, t = shingles(x.as_py(), hashes), shingles(y.as_py(), hashes)
             both = len(np.intersect1d(s, t, assume_unique=True))
             ok.append(100 * both >= THRESHOLD * (len(s) + len(t) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["ca", "cb", "ok"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) of the saved pairs whose full sets are similar. Only texts of wanted nodes are moved."""
+    """(ca, cb), the components that the saved pairs (a, b, ca, cb) tie together as their full sets are similar. Only texts of wanted nodes are moved."""
     wanted = scratch.large(pairs)
-    left = texts.join(wanted, texts["node"] == pairs["a"]).select("a", "b", F.col("text").alias("x"))
+    left = texts.join(wanted, texts["node"] == pairs["a"]).select("a", "b", "ca", "cb", F.col("text").alias("x"))
     right = texts.join(wanted, texts["node"] == pairs["b"]).select("a", "b", F.col("text").alias("y"))
-    both = left.join(right.hint("merge"), ["a", "b"]).select("a", "b", "x", "y")
-    return scratch.save(both.mapInArrow(_compare, "a long, b long, ok boolean").where("ok").select("a", "b").distinct())
+    both = left.join(right.hint("merge"), ["a", "b"]).select("ca", "cb", "x", "y")
+    return scratch.save(both.mapInArrow(_compare, "ca long, cb long, ok boolean").where("ok").select("ca", "cb"))
 
 
-def settle(open_pairs: DataFrame, texts: DataFrame, links: DataFrame | None, found: DataFrame | None, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links, found) after all candidates were verified or lie inside one component; found is (node, component)."""
+def merged(found: DataFrame | None, ties: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) after the ties (ca, cb) between components; a component is named by its smallest node."""
+    step = connected_components(ties, scratch, "ca", "cb")
+    if found is None:
+        return step
+    near = scratch.large(step)
+    moved = found.join(near, found["component"] == near["node"], "left").select(found["node"], F.coalesce(near["component"], found["component"]).alias("component"))
+    return scratch.save(moved.union(step.join(scratch.large(found), "node", "left_anti").select("node", "component")))
+
+
+def settle(open_pairs: DataFrame, texts: DataFrame, found: DataFrame | None, scratch: Scratch) -> DataFrame | None:
+    """(node, component) after all candidates were verified or lie inside one component; found holds what is known before."""
     if open_pairs.isEmpty():
-        return links, found
+        return found
     # Only texts that may be compared are moved, once; later joins read this table.
     ends = scratch.save(open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     texts = scratch.save(texts.join(scratch.large(ends), "node", "left_semi"))
@@ -227,23 +237,22 @@ def settle(open_pairs: DataFrame, texts: DataFrame, links: DataFrame | None, fou
         if cross.isEmpty():
             break
         if k < BEST_ROUNDS:
-            sides = cross.select(F.col("ca").alias("c"), F.struct("w", "a", "b").alias("p")).union(cross.select(F.col("cb").alias("c"), F.struct("w", "a", "b").alias("p")))
-            picked = scratch.save(sides.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct())
+            best = F.struct("w", "a", "b", "ca", "cb").alias("p")
+            sides = cross.select(F.col("ca").alias("c"), best).union(cross.select(F.col("cb").alias("c"), best))
+            picked = scratch.save(sides.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b", "p.ca", "p.cb").distinct())
         else:
-            picked = scratch.save(cross.select("a", "b"))
-        good = verify(picked, texts, scratch)
-        links = good if links is None else links.union(good)
-        found = connected_components(links, scratch)
-        open_pairs = scratch.save(cross.join(scratch.large(picked), ["a", "b"], "left_anti").select("a", "b", "w"))
+            picked = scratch.save(cross.select("a", "b", "ca", "cb"))
+        found = merged(found, verify(picked, texts, scratch), scratch)
+        open_pairs = scratch.save(cross.join(scratch.large(picked.select("a", "b")), ["a", "b"], "left_anti").select("a", "b", "w"))
         scratch.drop(cross)
     scratch.drop(texts)
-    return links, found
+    return found
 
 
 def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for the classes that have a verified link."""
     first = candidates(classes.withColumn("part", F.col("node")), scratch, ORDERS[:TREES], MIN_DEPTH)
-    links, found = settle(likely(first, classes, scratch), texts, None, None, scratch)
+    found = settle(likely(first, classes, scratch), texts, None, scratch)
     met = scratch.save(first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     crowd = classes.join(scratch.large(met), "node", "left_semi")
     if found is None:
@@ -254,7 +263,7 @@ def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     more = candidates(crowd, scratch, ORDERS[TREES:], CROWD_DEPTH)
     # Pairs of the first orders are settled.
     more = more.join(scratch.large(first), ["a", "b"], "left_anti")
-    _, found = settle(likely(more, classes, scratch), texts, links, found, scratch)
+    found = settle(likely(more, classes, scratch), texts, found, scratch)
     return found if found is not None else classes.select("node", F.col("node").alias("component")).limit(0)
 
 
