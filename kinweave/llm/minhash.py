@@ -6,13 +6,15 @@ the longest common prefixes, so the depth at which two classes meet adapts to ho
 region is. Neighbours that share at least MIN_DEPTH values are candidates. Candidates are
 verified on full shingle sets, best first for each component: a pair inside one component
 needs no check, so verification stays near one pair a class even in groups of thousands.
-Classes that met a neighbour are sorted in more orders after that, where only neighbours of
-different components so far are candidates."""
+Where more rows share the leading values than neighbours can meet, and aren't one component
+after that, blocks of these rows are compared with each other until every pair of two
+components was met, so a document whose only partner lies in a crowd is linked too."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm.common import LOWER_TABLE, fresh, map_texts
-from kinweave.operators.components import connected_components
+from kinweave.operators.components import connected_components, stars
 from kinweave.session import Scratch
 
 #: Production parameters. Each tree orders the classes by DEPTH of the VALUES minima, in an order of its own; a
 #: pair at 0.85 shares two leading values in none of 16 trees with probability 1e-9. The depth lets the order tell
 #: apart a crowd of thousands that share most values.
 SHINGLE, VALUES, TREES, DEPTH, MIN_DEPTH = 5, 128, 16, 16, 2
-#: Classes that met a neighbour lie in a crowd: they are sorted in this many more orders, where this prefix is asked for.
-CROWD_TREES, CROWD_DEPTH = 48, 5
+#: Trees whose crowds are swept together: each round starts from the components of those before, so the later ones find little left.
+ROUNDS = (range(0, 1), range(1, 4), range(4, TREES))
+#: Rows of a crowd that meet in one unit on each side, and columns of the matrix of their shingles at a time.
+BLOCK, _COLUMNS = 1024, 4096
 #: Neighbours taken on each side, and rounds of best-first verification before all remaining cross pairs are verified.
 NEIGHBOURS, BEST_ROUNDS = 4, 2
 #: Equal minima, of VALUES, that a candidate needs to be verified: 0.85 less 4.7 standard deviations, one wrong drop in a million.
@@ -62,7 +66,7 @@ _STEP = _rng.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 _MUL = _rng.integers(1, 1 << 31, VALUES, np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 1 << 32, VALUES, np.uint32)
 #: Which minima each tree looks at, first to last.
-ORDERS = np.array([_rng.permutation(VALUES)[:DEPTH] for _ in range(TREES + CROWD_TREES)])
+ORDERS = np.array([_rng.permutation(VALUES)[:DEPTH] for _ in range(TREES)])
 
 
 def shingles(text: str | None, hashes: dict, size: int = SHINGLE) -> np.ndarray:
@@ -249,21 +253,113 @@ def settle(open_pairs: DataFrame, texts: DataFrame, found: DataFrame | None, scr
     return found
 
 
+def _units(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(unit, rows) of a partition sorted by its first `size` columns; rows are the other columns."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+    for unit, members in groupby(rows, lambda r: r[:size]):
+        yield unit, [m[size:] for m in members]
+
+
+def closest(sigs: np.ndarray, parts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which rows have a row of another component on the other side whose signature agrees in LEAST_EQUAL values or more."""
+    hit, right = np.zeros(len(sigs), bool), np.flatnonzero(~left)
+    x, y = sigs[right], parts[right]
+    for i in np.flatnonzero(left):
+        found = right[((x == sigs[i]).sum(axis=1) >= LEAST_EQUAL) & (y != parts[i])]
+        hit[found] = True
+        hit[i] = len(found) > 0
+    return hit
+
+
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for unit, rows in _units(batches, 4):
+        node, part, left, sigs = zip(*rows)
+        parts = np.array(part, np.int64)
+        hit = closest(np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, VALUES), parts, np.array(left))
+        # A row may lie on both sides.
+        kept = sorted({(node[i], part[i]) for i in np.flatnonzero(hit)})
+        columns = [[x] * len(kept) for x in unit] + [[k[0] for k in kept], [k[1] for k in kept]]
+        types = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["tree", "head", "i", "j", "node", "part"])
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many items each two of the sets share."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    rows, column = rows[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        i, j = np.searchsorted(column, (start, start + _COLUMNS))
+        x = np.zeros((len(sets), _COLUMNS), np.float32)
+        x[rows[i:j], column[i:j] - start] = 1
+        both += x @ x.T
+    return both.astype(np.int64)
+
+
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Words()
+    for _, rows in _units(batches, 4):
+        parts = np.array([r[0] for r in rows], np.int64)
+        sets = [shingles(r[1], hashes) for r in rows]
+        both, size = overlaps(sets), np.array([len(s) for s in sets])
+        i, j = np.nonzero((both > 0) & (100 * both >= THRESHOLD * (size[:, None] + size - both)) & (parts[:, None] < parts))
+        ties = stars(zip(parts[i].tolist(), parts[j].tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in ties], pa.int64()) for k in (0, 1)], names=["ca", "cb"])
+
+
+def sweep(crowd: DataFrame, texts: DataFrame, trees: range, scratch: Scratch) -> DataFrame | None:
+    """(ca, cb), the components (part) that are tied by rows sharing MIN_DEPTH leading values in one of the trees; None if no rows are left to compare.
+
+    Runs of up to NEIGHBOURS + 1 such rows have met as neighbours. In a larger run rows outside
+    its largest component, on the left, are compared with all rows, on the right, block by block."""
+    heads = F.array(*[F.struct(F.lit(t).alias("tree"), F.concat(*[F.substring("sig", 2 * int(i) + 1, 2) for i in ORDERS[t][:MIN_DEPTH]]).alias("head")) for t in trees])
+    rows = crowd.select("node", "part", F.explode(heads).alias("h")).select("h.tree", "h.head", "node", "part")
+    inside = rows.groupBy("tree", "head", "part").agg(F.count("*").alias("n"))
+    runs = inside.groupBy("tree", "head").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("m"))
+    runs = runs.where((F.col("n") > NEIGHBOURS + 1) & (F.col("m.n") < F.col("n")))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    runs = scratch.save(runs.select("tree", "head", F.col("m.part").alias("most"), blocks(F.col("n") - F.col("m.n")).alias("nl"), blocks(F.col("n")).alias("nr")))
+    if runs.isEmpty():
+        return None
+    lot = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+    side = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    lefts = F.when(F.col("part") != F.col("most"), F.transform(numbers("nr"), lambda j: side(lot("nl", 1), j, True)))
+    rights = F.transform(numbers("nl"), lambda i: side(i, lot("nr", 2), False))
+    member = rows.join(scratch.large(runs), ["tree", "head"]).select("tree", "head", "node", "part", F.explode(F.concat(F.coalesce(lefts, F.array().cast("array<struct<i:int,j:int,left:boolean>>")), rights)).alias("u"))
+    sigs = crowd.select(F.col("node").alias("n_"), "sig")
+    unit = ["tree", "head", "i", "j"]
+    met = member.join(scratch.large(sigs), member["node"] == sigs["n_"]).select("tree", "head", "u.i", "u.j", "node", "part", "u.left", "sig")
+    hits = scratch.save(met.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_crowded, "tree int, head binary, i int, j int, node long, part long"))
+    if hits.isEmpty():
+        return None
+    near = scratch.large(hits)
+    full = texts.withColumnRenamed("node", "n_").join(near, F.col("n_") == near["node"]).select(*unit, "part", "text")
+    ties = scratch.save(full.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_tied, "ca long, cb long").distinct())
+    scratch.drop(runs, hits)
+    return ties
+
+
 def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for the classes that have a verified link."""
-    first = candidates(classes.withColumn("part", F.col("node")), scratch, ORDERS[:TREES], MIN_DEPTH)
+    first = candidates(classes.withColumn("part", F.col("node")), scratch, ORDERS, MIN_DEPTH)
     found = settle(likely(first, classes, scratch), texts, None, scratch)
+    # Rows of a run that is longer than neighbours reach have met some.
     met = scratch.save(first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    crowd = classes.join(scratch.large(met), "node", "left_semi")
-    if found is None:
-        crowd = crowd.withColumn("part", F.col("node"))
-    else:
-        near = scratch.large(found)
-        crowd = crowd.join(near, crowd["node"] == near["node"], "left").select(crowd["node"], "sig", F.coalesce("component", crowd["node"]).alias("part"))
-    more = candidates(crowd, scratch, ORDERS[TREES:], CROWD_DEPTH)
-    # Pairs of the first orders are settled.
-    more = more.join(scratch.large(first), ["a", "b"], "left_anti")
-    found = settle(likely(more, classes, scratch), texts, found, scratch)
+    crowd = scratch.save(classes.join(scratch.large(met), "node", "left_semi"))
+    for trees in ROUNDS:
+        if found is None:
+            parted = crowd.withColumn("part", F.col("node"))
+        else:
+            near = scratch.large(found)
+            parted = crowd.join(near, crowd["node"] == near["node"], "left").select(crowd["node"], "sig", F.coalesce("component", crowd["node"]).alias("part"))
+        ties = sweep(scratch.save(parted), texts, trees, scratch)
+        if ties is not None and not ties.isEmpty():
+            found = merged(found, ties, scratch)
     return found if found is not None else classes.select("node", F.col("node").alias("component")).limit(0)
 
 

@@ -66,6 +66,23 @@ def test_near_duplicates(spark):
     assert {(r.doc_id, r.component_id, r.kept) for r in odd.collect()} == {(None, None, True), (4, 4, True), (5, 4, False)}
 
 
+def test_star_of_near_duplicates(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(8))
+    base = [word() for _ in range(300)]
+    # Each copy adds 14 % own text: it is similar to the original alone.
+    texts = {0: " ".join(base)} | {i: " ".join(base + [word() for _ in range(48)]) for i in range(1, 1400)}
+    out = minhash.near_duplicates(docs_of(spark, list(texts.values()), list(texts)), keep=["doc_id"])
+    assert {(r.component_id, r.kept) for r in out.where("doc_id > 0").collect()} == {(0, False)}
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(minhash, "_COLUMNS", 3)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in (1, 5, 20, 30, 12)] + [np.array([99], np.uint64)]
+    assert minhash.overlaps(sets).tolist() == [[len(set(x) & set(y)) if i != j else sum(any(v in set(z) for k, z in enumerate(sets) if k != i) for v in x) for j, y in enumerate(sets)] for i, x in enumerate(map(set, sets))]
+
+
 def test_urls(spark):
     urls = [None, "", "nothing", "http://example.org/es/1", "http://www.EXAMPLE.org/en/12?x", "https://a.com/de/", "http://a.com", "http://casino-win.net/", "http://org/", "ftp://u@b.org:80/x#y", "http://ads.x.net/a", "http://x.net/ads/a/b.js"]
     out = url_filter.filter_urls(spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string"))
