@@ -57,6 +57,7 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s=/>])|display\s*:\s*none", re.I)
 _WORD = re.compile("[a-z]+")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 
 
 class Page:
@@ -69,25 +70,43 @@ class Page:
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        open_nodes, held, linked, raw = [0], [], 0, None
+        open_nodes, held, linked, at, body = [0], [], 0, 0, None
+        source = source.removeprefix("\ufeff")
+
+        def add(name: str, words: tuple = (), hidden: bool = False) -> None:
+            self.tag.append(name)
+            self.parent.append(open_nodes[-1])
+            self.words.append(words)
+            self.hidden.append(hidden)
+            for column in (self.own, self.links, self.inline):
+                column.append(0)
+            open_nodes.append(len(self.tag) - 1)
+
+        def here() -> int:
+            """The node that text belongs to; text directly under the root is the body's."""
+            nonlocal body
+            if open_nodes[-1]:
+                return open_nodes[-1]
+            if body is None:
+                add("body")
+                body = open_nodes[-1]
+            return body
 
         def flush() -> None:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                self.blocks.append((open_nodes[-1], text))
-                self.own[open_nodes[-1]] += len(text)
-
-        for m in _TOKEN.finditer(source):
-            token = m[0]
-            if raw is not None:
-                if token[:2] == "</" and (name := _NAME.match(token, 2)) and name[0].lower() == raw:
-                    raw = None
-                continue
+                node = here()
+                self.blocks.append((node, text))
+                self.own[node] += len(text)
+
+        while at < len(source):
+            m = _TOKEN.match(source, at)
+            token, at = m[0], m.end()
             if token[0] != "<" or len(token) < 3:
                 held.append(token)
-                if linked:
-                    self.links[open_nodes[-1]] += len(token.strip())
+                if linked and token.strip():
+                    self.links[here()] += len(token.strip())
                 continue
             if token[1] in "!?":
                 continue
@@ -97,28 +116,26 @@ class Page:
                 flush()
                 linked = 0
                 if closing:
-                    at = len(open_nodes) - 1
-                    while at > 0 and self.tag[open_nodes[at]] != name:
-                        at -= 1
-                    if at:
-                        del open_nodes[at:]
+                    k = len(open_nodes) - 1
+                    while k > 0 and self.tag[open_nodes[k]] != name:
+                        k -= 1
+                    if k:
+                        del open_nodes[k:]
                     continue
                 top = self.tag[open_nodes[-1]]
                 if top == "p" or (top == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")) or (top in ("td", "th") and name in ("td", "th")) or (top == "head" and name == "body"):
                     open_nodes.pop()
-                if name in ("html", "hr"):
+                if name in ("html", "hr") or (name == "body" and body in open_nodes):
                     continue
-                self.tag.append(name)
-                self.parent.append(open_nodes[-1])
                 words = tuple(w for a in _ATTR.findall(token) for w in _WORD.findall("".join(a).lower())) if "=" in token else ()
-                self.words.append(words)
-                self.hidden.append(bool(_HIDDEN.search(token)))
-                for column in (self.own, self.links, self.inline):
-                    column.append(0)
-                open_nodes.append(len(self.tag) - 1)
+                add(name, words, bool(_HIDDEN.search(token)))
+                if name == "body" and body is None:
+                    body = open_nodes[-1]
             elif name in RAW:
                 if not closing and not token.endswith("/>"):
-                    raw = name
+                    # Contents aren't markup: they go on to the end tag, or to the end of the page.
+                    end = _RAW_END[name].search(source, at)
+                    at = end.end() if end else len(source)
             elif name == "br":
                 flush()
             else:

@@ -180,6 +180,18 @@ def test_html(spark):
     assert html_text.extract_all([nested], html_text.model()) == ["A & b\none two\nthree <x>"]
 
 
+def test_html_scripts_and_root_text():
+    story = "".join(f"<p>{'some words of the story ' * 8}{i}</p>" for i in range(4))
+    script = "<script>for(var i=0;i<n;i++){s+=i}</script>"
+    page = f"<html><head>{script}</head><body><article>{story}</article></body></html>"
+    want = html_text.extract_all([page.replace(script, "")], html_text.model())
+    assert want[0].count("\n") == 3 and html_text.extract_all([page], html_text.model()) == want
+    assert html_text.Page("a<style>b</styles>c</STYLE >d<script>e").blocks == [(1, "ad")]
+    for source in ("one two<br>three <b>four</b>", "<html>one two<br>three <b>four</b></html>", "\ufeff<body>one two<br>three <b>four</b></body>"):
+        assert html_text.extract_all([source], html_text.model()) == ["one two\nthree four"]
+    assert html_text.Page("one<body><p>two</p></body>three").blocks == [(1, "one"), (2, "two"), (1, "three")]
+
+
 def test_quality_hosts(spark):
     good, bad = "fine words here and there " * 3 + " ".join(f"w{i}" for i in range(60)), " ".join(f"a{i} #" for i in range(40))
     rows = [(i, bad, "junk") for i in range(40)] + [(100, good, "junk"), (101, good, "ok"), (102, bad, "ok"), (103, None, None)] + [(200 + i, good, "ok") for i in range(40)]
