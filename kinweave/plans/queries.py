@@ -363,7 +363,7 @@ def preview_rows(spark, sf_dir):
 @query()
 def train_and_predict(spark, sf_dir):
     raw = raw_events(spark, sf_dir)
-    config = files.Config(trees=5)
+    config = files.Config()
     model, _ = linkage.train(raw, config)
     auto, _ = linkage.predict(raw, model, config)
     return auto

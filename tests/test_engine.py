@@ -192,3 +192,14 @@ def test_predict_without_pairs_and_stream(spark, tmp_path):
     raw.write.parquet(str(tmp_path / "in"))
     batches.link_stream(batches.file_stream(spark, str(tmp_path / "in")), model, files.Config(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/auto")).count() == 1
+
+
+def test_train_and_predict_finds_planted_entities(spark):
+    got = {}
+    for r in Q.train_and_predict(spark, DATA).collect():
+        got.setdefault(r.predicted_entity_id, set()).add(int(r.profile_id))
+    users = {r.user_id for r in Q.read(spark, DATA, "events").select("user_id").distinct().collect()}
+    want = {}
+    for u in users:
+        want.setdefault(u // 2, set()).add(u)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
