@@ -46,7 +46,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EV = "ev AS (SELECT user_id AS profile_id, ts AS created_at, event_type, event_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
-CAP = 40
 
 
 @query(f"WITH {EV} SELECT event_id, CAST(k AS VARCHAR) AS typed, CAST(k + 1 AS VARCHAR) AS last_wins, 'true' AS flag, 'x:' || k AS rest, 5 AS n FROM ev")
@@ -161,7 +160,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY pass, key ORDER BY id) AS rn FRO
 
 @query(f"WITH {BLOCKS} SELECT a, b FROM pr")
 def blocking_union(spark, sf_dir):
-    return blocking.pairs_within(_blocks(spark, sf_dir), ["pass", "key"], "id", CAP)
+    return blocking.pairs_within(_blocks(spark, sf_dir), ["pass", "key"], "id")
 
 
 @query(f"WITH {BLOCKS}, g AS (SELECT pass, key, count(*) AS n FROM b GROUP BY ALL) SELECT pass, count(*) AS n_keys, count(*) FILTER (n >= 2) AS n_groups FROM g GROUP BY 1")
@@ -190,7 +189,7 @@ def name_similarity(spark, sf_dir):
 def _event_pairs(spark, sf_dir):
     e = events(spark, sf_dir)
     sets = e.groupBy("profile_id").agg(profiles.value_set("k").alias("ks"), F.count("*").alias("n_events"))
-    pairs = blocking.pairs_within(e.select(F.col("k").alias("key"), F.col("profile_id").alias("id")).where("key is not null"), ["key"], "id", CAP)
+    pairs = blocking.pairs_within(e.select(F.col("k").alias("key"), F.col("profile_id").alias("id")).where("key is not null"), ["key"], "id")
     of = lambda x: sets.select(F.col("profile_id").alias(x), F.col("ks").alias(f"k{x}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", X.jaccard(F.col("ka"), F.col("kb")).alias("jaccard"), X.overlap(F.col("ka"), F.col("kb")).alias("overlap"))
 

@@ -203,3 +203,13 @@ def test_train_and_predict_finds_planted_entities(spark):
     for u in users:
         want.setdefault(u // 2, set()).add(u)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_blocks_beyond_forty_members(spark, tmp_path):
+    ids = range(1, 61)
+    spark.createDataFrame([(i, 3, "A", 100.0 * i) for i in ids], "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(i, i, "view", 1.0, '{"k": 7}') for i in ids], "event_id long, user_id long, event_type string, value double, props string").withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    want = set(itertools.combinations(ids, 2))
+    for name in ("blocking_union", "set_similarity", "flagship"):
+        assert {(r.a, r.b) for r in Q.QUERIES[name](spark, str(tmp_path)).collect()} == want
+    assert Q.blocking_recall(spark, str(tmp_path)).first().recall == 1.0
