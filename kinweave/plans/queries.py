@@ -257,7 +257,7 @@ def size_histogram(spark, sf_dir):
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS a, s_suppkey + 7 AS b FROM supplier WHERE s_suppkey % 3 <> 0), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
     r AS (SELECT x AS node, x AS c FROM u UNION SELECT u.y, r.c FROM r JOIN u ON u.x = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def components(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 7).alias("b"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 7).alias("b"))
     return connected_components(s, Scratch(spark))
 
 

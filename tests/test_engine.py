@@ -213,3 +213,10 @@ def test_blocks_beyond_forty_members(spark, tmp_path):
     for name in ("blocking_union", "set_similarity", "flagship"):
         assert {(r.a, r.b) for r in Q.QUERIES[name](spark, str(tmp_path)).collect()} == want
     assert Q.blocking_recall(spark, str(tmp_path)).first().recall == 1.0
+
+
+def test_components_of_all_suppliers(spark, tmp_path):
+    keys = range(1, 101)
+    spark.createDataFrame([(i,) for i in keys], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.node: r.component for r in Q.components(spark, str(tmp_path)).collect()}
+    assert got == {i: (i - 1) % 7 + 1 for i in range(1, 108)}
