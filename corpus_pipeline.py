@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import bpe, decontaminate, minhash, pii, quality
-from kinweave.llm.common import configure, read
+from kinweave.llm.common import configure, fresh, read
 from kinweave.session import Scratch
 
 
@@ -23,9 +23,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
+    """Keeps one document of each near-duplicate group, the one of the smallest id. Rows are numbered in order of
+    their ids, so repeats of one id and rows without an id are grouped like others."""
     configure(spark)
-    grouped = minhash.near_duplicates(docs)
+    row = fresh(docs.columns, "row")[0]
+    order = F.col("doc_id").asc_nulls_last()
+    sorted_docs = docs.repartitionByRange(order).sortWithinPartitions(order)
+    numbered = Scratch(spark).save(sorted_docs.withColumn(row, F.monotonically_increasing_id()))
+    grouped = minhash.near_duplicates(numbered, row)
     return grouped.where(F.col(grouped.columns[-1])).select(*docs.columns)
 
 

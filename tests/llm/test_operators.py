@@ -272,3 +272,12 @@ def test_pipeline(spark):
         ids, _ = codec.encode([pii.redact(text, pii.find(text, w)[1])])[0]
         assert out[i].ids_sha256 == hashlib.sha256(ids.encode()).hexdigest()
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "private_data", "bpe"]
+
+
+def test_pipeline_drops_copies_without_own_ids(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(9, "a b c d e f"), (None, "a b c d e f"), (4, "A b c d e f"), (4, "a b c d e F"), (None, "x y"), (None, "X y"), (5, "z"), (6, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, (r.text or "").lower()) for r in pipeline.near_dedup(spark, docs, DATA).collect()]
+    assert sorted(got, key=str) == sorted([(4, "a b c d e f"), (None, "x y"), (5, "z"), (6, ""), (6, "")], key=str)
