@@ -13,20 +13,21 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.llm.common import fresh, map_texts
+from kinweave.llm.common import fresh, lower_ascii, map_texts
 
 TOKEN = re.compile("[a-z0-9]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Rules are sent to every task; more of them than this are refused.
 MAX_RULES = 200_000
 
 
 @dataclass(frozen=True)
 class HostRule:
-    """Fits `host` and its subdomains if the path starts with `path`; the longest host + path wins."""
+    """Fits `host`, of any case, and its subdomains if the path starts with `path`, case included; the longest host + path wins."""
 
     verdict: str
     host: str
@@ -36,6 +37,15 @@ class HostRule:
     def name(self) -> str:
         return self.host + self.path
 
+    @property
+    def low_host(self) -> str:
+        return self.host.translate(_LOWER)
+
+    def tokens(self) -> list[str]:
+        """Host labels and whole parts of the path are url tokens; the path's last, open part is not."""
+        path = self.path.translate(_LOWER)
+        return TOKEN.findall(self.low_host) + TOKEN.findall(re.sub("[a-z0-9]+$", "", path))
+
 
 #: The host and path rules of the contract.
 HOST_RULES = (
@@ -56,7 +66,7 @@ PATTERNS = (
 def to_regex(pattern: str) -> str:
     """The pattern as a regular expression, in a form that Python, Java and RE2 share."""
     left, right = pattern.startswith("|"), pattern.endswith("|") and len(pattern) > 1
-    body = pattern[left : len(pattern) - right]
+    body = pattern[left : len(pattern) - right].translate(_LOWER)
     out = []
     for i, c in enumerate(body):
         if c == "*":
@@ -71,7 +81,7 @@ def to_regex(pattern: str) -> str:
 def tokens_of(pattern: str) -> list[str]:
     """Runs of letters and digits bounded on both sides by text, `^` or an anchor, never by `*` or an open end."""
     left, right = pattern.startswith("|"), pattern.endswith("|") and len(pattern) > 1
-    body = pattern[left : len(pattern) - right].lower()
+    body = pattern[left : len(pattern) - right].translate(_LOWER)
     out = []
     for m in TOKEN.finditer(body):
         before = left if m.start() == 0 else body[m.start() - 1] != "*"
@@ -87,7 +97,7 @@ def token_counts(pages: DataFrame, url: str, tokens: list[str]) -> dict[str, int
     if not tokens:
         return {}
     wanted = spark.createDataFrame([(t,) for t in sorted(set(tokens))], "token string")
-    split = F.array_distinct(F.split(F.lower(url), "[^a-z0-9]+"))
+    split = F.array_distinct(F.split(lower_ascii(F.col(url)), "[^a-z0-9]+"))
     seen = pages.select(F.explode(split).alias("token")).join(F.broadcast(wanted), "token")
     return {r.token: r.n for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
@@ -96,17 +106,19 @@ class RuleIndex:
     """Both kinds of rules behind one token lookup."""
 
     def __init__(self, hosts: tuple[HostRule, ...], patterns: tuple[str, ...], counts: dict[str, int]):
-        if len(hosts) + len(patterns) > MAX_RULES:
-            raise ValueError(f"{len(hosts) + len(patterns)} rules; at most {MAX_RULES} can be sent to every task")
-        self.by_token, self.always = defaultdict(list), []
+        self.by_token, self.always, self.compiled = defaultdict(list), [], {}
         rarest = lambda tokens: min(tokens, key=lambda t: (counts.get(t, 0), t))
         for p in patterns:
             tokens = tokens_of(p)
-            (self.by_token[rarest(tokens)] if tokens else self.always).append((None, p, re.compile(to_regex(p))))
+            (self.by_token[rarest(tokens)] if tokens else self.always).append((None, p))
         for r in hosts:
-            # Host labels and whole path parts are url tokens; a path's last, open part is not.
-            tokens = TOKEN.findall(r.host) + TOKEN.findall(r.path if not r.path or not r.path[-1].isalnum() else re.sub("[a-z0-9]+$", "", r.path.lower()))
-            (self.by_token[rarest(tokens)] if tokens else self.always).append((r, r.name, None))
+            tokens = r.tokens()
+            (self.by_token[rarest(tokens)] if tokens else self.always).append((r, r.name))
+
+    def hits(self, pattern: str, low: str) -> bool:
+        """A pattern is compiled when a url first asks for it."""
+        regex = self.compiled.get(pattern) or self.compiled.setdefault(pattern, re.compile(to_regex(pattern)))
+        return regex.search(low) is not None
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, str | None]:
         """host, path, rule, verdict, pattern."""
@@ -124,17 +136,35 @@ class RuleIndex:
         for t in set(TOKEN.findall(low)):
             rules += self.by_token.get(t, ())
         best, pattern = None, None
-        for host_rule, name, regex in rules:
+        for host_rule, name in rules:
             if host_rule is None:
-                if (pattern is None or name < pattern) and regex.search(low):
+                if (pattern is None or name < pattern) and self.hits(name, low):
                     pattern = name
-            elif f".{host}".endswith(f".{host_rule.host}") and path.startswith(host_rule.path):
+            elif f".{host}".endswith(f".{host_rule.low_host}") and path.startswith(host_rule.path):
                 best = max(best or host_rule, host_rule, key=lambda r: (len(r.name), r.name))
         verdict = best.verdict if best else "block" if pattern else "allow"
         return host, path, best.name if best else None, verdict, pattern
 
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def read_rules(spark: SparkSession, path: str) -> tuple[tuple[HostRule, ...], tuple[str, ...]]:
+    """(host rules, patterns) of a text file: `allow host/path` or `block host/path` a line, any other line is a pattern.
+    Empty lines and lines that begin with # are skipped; a file of more than MAX_RULES rules is refused."""
+    lines = [r.value.strip() for r in spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')").limit(MAX_RULES + 1).collect()]
+    _bounded(len(lines))
+    hosts, patterns = [], []
+    for line in lines:
+        verdict, _, name = line.partition(" ")
+        if verdict in ("allow", "block") and name.strip():
+            host, slash, rest = name.strip().partition("/")
+            hosts.append(HostRule(verdict, host, slash + rest))
+        else:
+            patterns.append(line)
+    return tuple(hosts), tuple(patterns)
+
+
+def _bounded(n: int) -> None:
+    if n > MAX_RULES:
+        raise ValueError(f"{n} rules; at most {MAX_RULES} can be sent to every task")
 
 
 def filter_urls(
@@ -143,9 +173,11 @@ def filter_urls(
     """Append host, path, rule, verdict and pattern (the first pattern in code-point order that hits).
 
     A null url, or one without `://`, has an empty host and path and no host rule; patterns still
-    apply to its text. Rows pass through one to one; names that clash get a trailing _."""
+    apply to its text. Rows pass through one to one, repeated ones too; an empty table stays empty; long urls are
+    judged whole; rules of one length are told apart by name; names that clash get a trailing _."""
     keep = pages.columns if keep is None else keep
-    wanted = [t for p in patterns for t in tokens_of(p)] + [t for r in hosts for t in TOKEN.findall(r.name)]
+    _bounded(len(hosts) + len(patterns))
+    wanted = [t for p in patterns for t in tokens_of(p)] + [t for r in hosts for t in r.tokens()]
     shared = pages.sparkSession.sparkContext.broadcast((hosts, patterns, token_counts(pages, url, wanted)))
     names = fresh(keep, "host", "path", "rule", "verdict", "pattern")
 
