@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 from kinweave.llm.common import fresh, map_texts
 from kinweave.llm.pretokens import Splitter, byte_chars, description
 
-#: Entries of a worker's word cache, words merged at a time.
-CACHE_SIZE, BATCH_WORDS = 300_000, 1 << 16
+#: Entries and characters of a worker's word cache, words merged at a time, bytes from which a word is merged alone.
+CACHE_SIZE, CACHE_CHARS, BATCH_WORDS, LONG = 300_000, 1 << 24, 1 << 16, 1 << 10
 _NONE = np.int64(1) << 40
 
 
@@ -41,13 +42,70 @@ class Merger:
             made.append(vocab[a + b])
         keys = np.array(keys, np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), np.array(made, np.int64)
+        self.keys, self.ranks, self.by_rank = keys[order], order.astype(np.int64), np.array(made, np.int64)
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """The token ids of each pre-token (none of them empty)."""
         out: list = []
         for i in range(0, len(words), BATCH_WORDS):
-            out += self._encode([w.encode() for w in words[i : i + BATCH_WORDS]])
+            raw = [w.encode() for w in words[i : i + BATCH_WORDS]]
+            made = iter(self._encode([r for r in raw if len(r) < LONG]))
+            out += [next(made) if len(r) < LONG else self._encode_long(r) for r in raw]
+        return out
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, _NONE for pairs that never merge."""
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
+
+    def _encode_long(self, raw: bytes) -> list[int]:
+        """One long word. Positions wait in a pool for the round of their pair's rank, and a round touches its own
+        positions and their neighbours only: the cost follows the merges, not rounds times length."""
+        flat = np.frombuffer(raw, np.uint8)
+        n = len(flat)
+        symbols = np.append(self.inner[flat], 0)
+        symbols[n - 1] = self.last[flat[-1]]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        ranks = np.full(n + 1, _NONE)
+        pools: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            """Look the pairs that begin at these positions up anew."""
+            ranks[at] = np.where(after[at] < n, self._rank(symbols[at], symbols[np.minimum(after[at], n)]), _NONE)
+            at = at[ranks[at] < _NONE]
+            at = at[np.argsort(ranks[at], kind="stable")]
+            found, first = np.unique(ranks[at], return_index=True)
+            for rank, a, b in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(at)]):
+                if rank not in pools:
+                    pools[rank] = []
+                    heapq.heappush(waiting, rank)
+                pools[rank].append(at[a:b])
+
+        wait(np.arange(n))
+        while waiting:
+            rank = heapq.heappop(waiting)
+            at = np.unique(np.concatenate(pools.pop(rank)))
+            at = at[ranks[at] == rank]
+            if not len(at):
+                continue
+            # Of overlapping hits (runs of one symbol) every second one stays.
+            new = np.r_[True, after[at[:-1]] != at[1:]]
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.by_rank[rank]
+            ranks[gone] = _NONE
+            after[at] = after[gone]
+            before[after[at]] = at
+            left = before[at]
+            wait(np.unique(np.concatenate([at, left[left >= 0]])))
+        out, at = [], 0
+        hops, ids = after.tolist(), symbols.tolist()
+        while at < n:
+            out.append(ids[at])
+            at = hops[at]
         return out
 
     def _encode(self, raw: list[bytes]) -> list[list[int]]:
@@ -60,10 +118,7 @@ class Merger:
         done_symbols, done_words = [], []
         while len(symbols):
             ranks = np.full(len(symbols), _NONE)
-            key = symbols[:-1] << 20 | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = (self.keys[at] == key) & (word[:-1] == word[1:])
-            ranks[:-1][ok] = self.ranks[at[ok]]
+            ranks[:-1] = np.where(word[:-1] == word[1:], self._rank(symbols[:-1], symbols[1:]), _NONE)
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(ranks, starts)
             lowest = np.repeat(best, np.diff(np.r_[starts, len(word)]))
@@ -77,7 +132,7 @@ class Merger:
                 first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
                 hit = hit[(np.arange(len(hit)) - first[run - 1]) % 2 == 0]
                 symbols = symbols.copy()
-                symbols[hit] = self.made[ranks[hit]]
+                symbols[hit] = self.by_rank[ranks[hit]]
             live = ~over
             live[hit + 1] = False
             symbols, word = symbols[live], word[live]
@@ -98,6 +153,7 @@ class Codec:
     def __init__(self, path: str, cache_size: int = CACHE_SIZE):
         self.split, self.merge, self.cache_size = Splitter(path), merger(path), cache_size
         self.words: dict[str, tuple[str, str]] = {}  # ids and tokens of a word, joined by spaces
+        self.chars = 0
         self.decodes_bytes = (description(path)["decoder"] or {}).get("type") == "ByteLevel"
 
     def learn(self, parts: list[list]) -> None:
@@ -106,6 +162,7 @@ class Codec:
         tokens = self.merge.tokens
         for w, ids in zip(missing, self.merge.encode(missing) if missing else []):
             self.words[w] = " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
+            self.chars += len(w)
 
     def encode(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """For each text its ids and its tokens, joined by spaces."""
@@ -116,8 +173,9 @@ class Codec:
             pairs = list(map(of, p[0])) if len(p) == 1 else [x for s in p for x in ([(str(s), self.merge.tokens[s])] if isinstance(s, int) else map(of, s))]
             ids, tokens = zip(*pairs) if pairs else ((), ())
             out.append((" ".join(ids), " ".join(tokens)))
-        if len(self.words) > self.cache_size:
+        if len(self.words) > self.cache_size or self.chars > CACHE_CHARS:
             self.words.clear()
+            self.chars = 0
         return out
 
     def decode(self, ids: list[int]) -> str:
