@@ -12,6 +12,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -52,7 +53,7 @@ BAD_WORDS = frozenset(
     "ad ads advert advertisement banner sponsor sponsored promo nav navigation navbar menu breadcrumb breadcrumbs header masthead footer copyright sidebar aside widget "
     "related recommended share social cookie consent notice alert popup modal gdpr newsletter subscribe signup login search form comment comments reply replies disqus respond tags pagination".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S)
+_STOP = re.compile("[>\"']")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s=/>])|display\s*:\s*none", re.I)
@@ -60,6 +61,31 @@ _WORD = re.compile("[a-z]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 
 
+class Tags:
+    """Finds where the tags of a page end, each character being passed a bounded number of times."""
+
+    def __init__(self, source: str):
+        self.source, self.quotes = source, {'"', "'"}
+
+    def end(self, at: int) -> int:
+        """Behind the `>` of the tag that begins at `at`; -1 if there is none. A `>` in a value in quotes doesn't end a tag."""
+        here = at
+        while m := _STOP.search(self.source, here):
+            if m[0] == ">":
+                return m.end()
+            here = m.end()
+            if m[0] in self.quotes and self.source[max(at, m.start() - 64) : m.start()].rstrip().endswith("="):
+                close = self.source.find(m[0], here)
+                if close < 0:
+                    # Neither does a later quote of this kind close.
+                    self.quotes.discard(m[0])
+                else:
+                    here = close + 1
+        # The quotes went on to the end of the page: from here on they are characters like others.
+        self.quotes.clear()
+        return self.source.find(">", at) + 1 or -1
+
+
 class Page:
     """The block elements of a page as parallel lists, parents first, and its text blocks (node, text)."""
 
@@ -72,6 +98,7 @@ class Page:
     def _parse(self, source: str) -> None:
         open_nodes, held, linked, at, body = [0], [], 0, 0, None
         source = source.removeprefix("\ufeff")
+        tags, opened = Tags(source), Counter()
 
         def add(name: str, words: tuple = (), hidden: bool = False) -> None:
             self.tag.append(name)
@@ -81,6 +108,17 @@ class Page:
             for column in (self.own, self.links, self.inline):
                 column.append(0)
             open_nodes.append(len(self.tag) - 1)
+            opened[name] += 1
+
+        def close() -> str:
+            name = self.tag[open_nodes.pop()]
+            opened[name] -= 1
+            return name
+
+        def say(text: str) -> None:
+            held.append(text)
+            if linked and text.strip():
+                self.links[here()] += len(text.strip())
 
         def here() -> int:
             """The node that text belongs to; text directly under the root is the body's."""
@@ -101,31 +139,43 @@ class Page:
                 self.own[node] += len(text)
 
         while at < len(source):
-            m = _TOKEN.match(source, at)
-            token, at = m[0], m.end()
-            if token[0] != "<" or len(token) < 3:
-                held.append(token)
-                if linked and token.strip():
-                    self.links[here()] += len(token.strip())
+            start = source.find("<", at)
+            if start != at:
+                say(source[at : start if start >= 0 else len(source)])
+                if start < 0:
+                    break
+            second = source[start + 1 : start + 2]
+            if second and second in "!?":
+                mark = "-->" if source.startswith("<!--", start) else ">"
+                at = source.find(mark, start + len(mark) + 1)
+                if at < 0:
+                    break
+                at += len(mark)
                 continue
-            if token[1] in "!?":
+            if not _NAME.match(source, start + 1 + (second == "/")):
+                say("<")
+                at = start + 1
                 continue
+            at = tags.end(start)
+            if at < 0:
+                # No tag ends any more.
+                say(source[start:])
+                break
+            token = source[start:at]
             closing = token[1] == "/"
             name = _NAME.match(token, 1 + closing)[0].lower()
             if name in BLOCK:
                 flush()
                 linked = 0
                 if closing:
-                    k = len(open_nodes) - 1
-                    while k > 0 and self.tag[open_nodes[k]] != name:
-                        k -= 1
-                    if k:
-                        del open_nodes[k:]
+                    # An end tag closes up to its own start; without one it closes nothing.
+                    while opened[name] and close() != name:
+                        pass
                     continue
                 top = self.tag[open_nodes[-1]]
                 if top == "p" or (top == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")) or (top in ("td", "th") and name in ("td", "th")) or (top == "head" and name == "body"):
-                    open_nodes.pop()
-                if name in ("html", "hr") or (name == "body" and body in open_nodes):
+                    close()
+                if name in ("html", "hr") or (name == "body" and opened["body"]):
                     continue
                 words = tuple(w for a in _ATTR.findall(token) for w in _WORD.findall("".join(a).lower())) if "=" in token else ()
                 add(name, words, bool(_HIDDEN.search(token)))
