@@ -72,7 +72,8 @@ def format_chats(
 
     Turns are ordered by turn, ties by role and text; repeated rows are turns of their own. Null
     roles and texts are empty; a null turn comes first; a null conv is a conversation. A row is
-    invalid, not lost, if its roles break the machine. Other columns of the input are ignored.
+    invalid, not lost, if its roles break the machine. Other columns of the input are ignored. An empty table
+    stays empty; long texts are formatted whole.
     A conversation is one value of the result, so its rows meet in one task."""
     turn_struct = F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))
     grouped = rows.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(turn_struct)).alias("turns"))
