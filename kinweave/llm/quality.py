@@ -94,13 +94,12 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
     """Append MEASURES, base_failed and kept (names that clash get a trailing _).
 
     Null texts are empty and fail the base rules; null hosts share one verdict; repeated rows
-    are judged alike; an empty table stays empty. Measured rows are written once to the shared
-    folder; only sums by host are shuffled, and host verdicts come back by a join that is a
+    are judged alike; an empty table stays empty; long texts are measured whole; the input's columns may have
+    any names. Measured rows are written once to the shared folder; only sums by host are shuffled, and host verdicts come back by a join that is a
     broadcast where the measured size allows."""
     keep = docs.columns if keep is None else keep
     scratch = Scratch(docs.sparkSession)
-    names = fresh([*docs.columns, "host", "n", "failures", "rate", "strict"], *MEASURES, "failed", "base_failed", "kept")
-    source, *names = [fresh(docs.columns, "host_of")[0], *names]
+    source, *names = fresh([*docs.columns, "host", "n", "failures", "rate", "strict"], "host_of", *MEASURES, "failed", "base_failed", "kept")
     fields = [T.StructField(n, T.LongType()) for n in names[: len(MEASURES)]]
     measured = map_texts(docs.withColumn(source, F.col(host)), text, fields, _kernel, [*dict.fromkeys([*keep, source])])
     q = {m: F.col(n) for m, n in zip(MEASURES, names)}
@@ -110,7 +109,9 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
         soft = soft | rule
     measured = scratch.save(measured.withColumn(base, base_failed(q)).withColumn(failed, F.col(base) | soft))
     # Only strict hosts are joined back: all others need no look-up.
-    verdicts = scratch.save(host_verdicts(measured, source, failed, strict_rate).where("strict").select("host", "strict"))
-    joined = measured.join(scratch.small(verdicts), measured[source].eqNullSafe(verdicts["host"]), "left")
-    strict = F.coalesce(F.col("strict"), F.lit(False))
+    host_, strict_ = fresh(measured.columns, "host", "strict")
+    judged = host_verdicts(measured.select(source, failed), source, failed, strict_rate)
+    verdicts = scratch.save(judged.where("strict").select(F.col("host").alias(host_), F.col("strict").alias(strict_)))
+    joined = measured.join(scratch.small(verdicts), measured[source].eqNullSafe(verdicts[host_]), "left")
+    strict = F.coalesce(F.col(strict_), F.lit(False))
     return joined.select(*keep, *names[: len(MEASURES)], base, (~F.col(base) & ~(strict & F.col(failed))).alias(kept))
