@@ -3,17 +3,16 @@
 Documents with one shingle set form a class. Class signatures are cut into trees; in each tree
 the classes are sorted by their signature slice, and neighbours in that order are the ones with
 the longest common prefixes, so the depth at which two classes meet adapts to how crowded the
-region is. Neighbours that share at least MIN_DEPTH values are candidates. Candidates are
-verified on full shingle sets, best first for each component: a pair inside one component
-needs no check, so verification stays near one pair a class even in groups of thousands.
-Where more rows share the leading values than neighbours can meet, and aren't one component
-after that, blocks of these rows are compared with each other until every pair of two
+region is. Each sorted row carries a sketch of its signature, so neighbours that are alike in one prefix
+only fall away before anything is joined. Candidates are verified on full shingle sets, best first for each component: a pair
+inside one component needs no check, so verification stays near one pair a class even in groups of thousands.
+Where more rows share the leading values than neighbours can meet, the candidates are trees over these rows, and if
+they aren't one component after that, blocks of them are compared with each other until every pair of two
 components was met, so a document whose only partner lies in a crowd is linked too."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from itertools import groupby
 
 import numpy as np
@@ -34,11 +33,12 @@ from kinweave.session import Scratch
 SHINGLE, VALUES, TREES, DEPTH, MIN_DEPTH = 5, 128, 16, 16, 2
 #: Trees whose crowds are swept together: each round starts from the components of those before, so the later ones find little left.
 ROUNDS = (range(0, 1), range(1, 4), range(4, TREES))
-#: Rows of a crowd that meet in one unit on each side, and columns of the matrix of their shingles at a time.
-BLOCK, _COLUMNS = 1024, 4096
+#: Rows of a crowd that meet in one unit on each side, their shingles, and columns of the matrix of their shingles at a time.
+BLOCK, BLOCK_SHINGLES, _COLUMNS = 1024, 1 << 20, 4096
 #: Neighbours taken on each side, and rounds of best-first verification before all remaining cross pairs are verified.
 NEIGHBOURS, BEST_ROUNDS = 4, 2
 #: Equal minima, of VALUES, that a candidate needs to be verified: 0.85 less 4.7 standard deviations, one wrong drop in a million.
+#: Sketches agree by chance in a sixteenth of the others, so they show a few more.
 LEAST_EQUAL = 90
 #: Similarity as a whole-number ratio: 100 * intersection >= 85 * union.
 THRESHOLD = 85
@@ -98,10 +98,11 @@ def _sign():
     hashes = _Words()
 
     def work(texts):
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for t in texts:
             s = shingles(t, hashes)
-            row = (len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(_mix(s + np.uint64(1))).astype(np.int64)), signature(s)) if len(s) else (0, 0, 0, b"")
+            sig = signature(s) if len(s) else b""
+            row = (len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(_mix(s + np.uint64(1))).astype(np.int64)), sig, sketch(sig)) if len(s) else (0, 0, 0, b"", b"")
             for column, value in zip(out, row):
                 column.append(value)
         return out
@@ -109,88 +110,103 @@ def _sign():
     return work
 
 
-def neighbour_pairs(keys: np.ndarray, trees: np.ndarray, nodes: np.ndarray, parts: np.ndarray, reach: int = NEIGHBOURS, least: int = MIN_DEPTH):
-    """Pairs of rows of different components up to `reach` apart in sorted order with a common prefix of at least `least` values: (a, b)."""
-    a, b = [], []
-    for s in range(1, reach + 1):
-        if len(keys) <= s:
-            break
-        prefix = np.cumprod(keys[:-s] == keys[s:], axis=1).sum(axis=1)
-        i = np.flatnonzero((prefix >= least) & (trees[:-s] == trees[s:]) & (parts[:-s] != parts[s:]))
-        a.append(np.minimum(nodes[i], nodes[i + s]))
-        b.append(np.maximum(nodes[i], nodes[i + s]))
-    return [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
+#: How many of a byte's two halves are zero.
+_ZEROS = np.array([(not x >> 4) + (not x & 15) for x in range(256)], np.uint8)
+
+
+def sketch(sig: bytes) -> bytes:
+    """The low four bits of each minimum, two a byte: enough to tell the unlike apart where the rows are sorted."""
+    low = np.frombuffer(sig, np.uint8)[1::2] & 15
+    return (low[::2] << 4 | low[1::2]).tobytes()
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Minima that agree by their sketches, of each row."""
+    return _ZEROS[x ^ y].sum(axis=1, dtype=np.int32)
+
+
+def neighbour_pairs(keys: np.ndarray, trees: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, seen: int = 0):
+    """((a, b, w), crowd): pairs of sorted rows that a new row (from `seen` on) is part of, and the nodes of crowds.
+
+    Rows that share MIN_DEPTH leading values are a run. In runs that neighbours span, all pairs whose sketches agree in
+    w >= LEAST_EQUAL values are candidates. Longer runs are crowds: each row keeps its most alike
+    follower of NEIGHBOURS, which makes trees over the crowd; the crowd's other pairs are left to sweep()."""
+    n = len(keys)
+    heads = keys[:, :MIN_DEPTH]
+    together = lambda s: (heads[:-s] == heads[s:]).all(axis=1) & (trees[:-s] == trees[s:])
+    crowd = np.zeros(n, bool)
+    if n > NEIGHBOURS + 1:
+        long = np.flatnonzero(together(NEIGHBOURS + 1))
+        for s in range(NEIGHBOURS + 2):
+            crowd[long + s] = True
+    found = []
+    for s in range(1, min(NEIGHBOURS, n - 1) + 1):
+        i = np.flatnonzero(together(s))
+        i = i[i + s >= seen]
+        w = agreeing(sketches[i], sketches[i + s])
+        i, w = i[w >= LEAST_EQUAL], w[w >= LEAST_EQUAL]
+        found.append(np.stack([i, i + s, w, np.full(len(i), s)], axis=1))
+    rows = np.concatenate(found) if found else np.empty((0, 4), np.int64)
+    rows = rows[np.lexsort([rows[:, 3], -rows[:, 2], rows[:, 0]])]
+    best = np.r_[True, rows[1:, 0] != rows[:-1, 0]] if len(rows) else np.empty(0, bool)
+    rows = rows[best | ~crowd[rows[:, 0]]]
+    x, y = nodes[rows[:, 0]], nodes[rows[:, 1]]
+    return (np.minimum(x, y), np.maximum(x, y), rows[:, 2]), nodes[crowd]
+
+
+_SCAN = "a long, b long, w int, border int, tree int, key binary, sketch binary"
+
 
+def _scanned(a, b=None, w=None, **border) -> pa.RecordBatch:
+    n = len(a)
+    columns = {"a": a, "b": b, "w": w} | {c: border.get(c) for c in ("border", "tree", "key", "sketch")}
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns.values(), kinds)], names=list(columns))
 
-def _scan(batches: Iterator[pa.RecordBatch], least: int = MIN_DEPTH) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours in one sorted partition, and its first and last rows (node, component) for the partitions beside it."""
-    me, head, tail = TaskContext.get().partitionId(), None, None
-    names = ["a", "b", "border", "tree", "key"]
 
-    def out(a, b, border=None, tree=None, key=None):
-        n = len(a)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(border or [None] * n, pa.int32()), pa.array(tree or [None] * n, pa.int32()), pa.array(key or [None] * n, pa.binary())], names=names
-        )
+def _neighbours(rows: list[tuple], seen: int = 0) -> Iterator[pa.RecordBatch]:
+    """Candidates among sorted rows (tree, key, node, sketch), as (a, b, w); crowd members have no b."""
+    tree, key, node, sketches = zip(*rows)
+    keys = np.frombuffer(b"".join(key), ">u2").reshape(len(key), DEPTH)
+    pairs, crowd = neighbour_pairs(keys, np.array(tree), np.array(node, np.int64), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(rows), -1), seen)
+    yield _scanned(*pairs)
+    yield _scanned(np.unique(crowd))
 
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of one sorted partition, and its first and last rows for the partitions beside it."""
+    me, reach, head, tail = TaskContext.get().partitionId(), NEIGHBOURS + 1, [], []
     for batch in batches:
-        tail, seen = tail or [], len(tail or [])
-        rows = tail + list(zip(*(batch.column(i).to_pylist() for i in range(4))))
-        if not rows:
+        new = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+        if not new:
             continue
-        tree, key, node, part = zip(*rows)
-        if head is None or len(head) < NEIGHBOURS:
-            head = ((head or []) + rows[seen:])[:NEIGHBOURS]
-        keys = np.frombuffer(b"".join(key), ">u2").reshape(len(key), DEPTH)
-        a, b = neighbour_pairs(keys, np.array(tree), np.array(node, np.int64), np.array(part, np.int64), least=least)
-        yield out(a, b)
-        tail = rows[-NEIGHBOURS:]
-    if tail:
-        ends = [(r, me) for r in head] + [(r, me + 1) for r in tail]
-        yield out([r[2] for r, _ in ends], [r[3] for r, _ in ends], [x for _, x in ends], [int(r[0]) for r, _ in ends], [r[1] for r, _ in ends])
-
-
-def _border_pairs(batches, least: int = MIN_DEPTH):
-    for batch in batches:
-        rows = batch.to_pydict()
-        a, b = [], []
-        for members in rows["rows"]:
-            members = sorted({(m["tree"], m["key"], m["a"], m["b"]) for m in members})
-            keys = np.frombuffer(b"".join(m[1] for m in members), ">u2").reshape(len(members), DEPTH)
-            tree, _, node, part = (np.array(c) for c in zip(*members))
-            for column, made in zip((a, b), neighbour_pairs(keys, tree, node.astype(np.int64), part.astype(np.int64), least=least)):
-                column += made.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def candidates(classes: DataFrame, scratch: Scratch, orders: np.ndarray, least: int) -> DataFrame:
-    """(a, b), a < b, for neighbours in some tree whose common prefix has `least` values; classes have node, sig and part, their component so far."""
-    slices = F.array(*[F.concat(*[F.substring("sig", 2 * int(i) + 1, 2) for i in order]) for order in orders])
-    rows = classes.select("node", "part", F.posexplode(slices).alias("tree", "key")).select("tree", "key", "node", "part")
-    rows = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    scanned = scratch.save(rows.mapInArrow(partial(_scan, least=least), "a long, b long, border int, tree int, key binary"))
-    # A border has a few rows of the two partitions at it.
-    border = scanned.where("border is not null").groupBy("border").agg(F.collect_list(F.struct("tree", "key", "a", "b")).alias("rows")).select("rows")
-    pairs = scanned.where("border is null").select("a", "b").union(border.mapInArrow(partial(_border_pairs, least=least), "a long, b long"))
-    out = scratch.save(pairs.select("a", "b").distinct())
-    scratch.drop(scanned)
-    return out
+        head += new[: reach - len(head)] if len(head) < reach else []
+        yield from _neighbours(tail + new, len(tail))
+        tail = (tail + new)[-reach:]
+    ends = [(r, me) for r in head] + [(r, me + 1) for r in tail]
+    if ends:
+        yield _scanned([r[2] for r, _ in ends], border=[x for _, x in ends], tree=[r[0] for r, _ in ends], key=[r[1] for r, _ in ends], sketch=[r[3] for r, _ in ends])
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _border_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, VALUES) for i in (2, 3))
-        w = (x == y).sum(axis=1).astype(np.int32)
-        keep = pa.array(w >= LEAST_EQUAL)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(w[w >= LEAST_EQUAL])], names=["a", "b", "w"])
+        for members in batch.column(0).to_pylist():
+            yield from _neighbours(sorted({(m["tree"], m["key"], m["a"], m["sketch"]) for m in members}))
 
 
-def likely(pairs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, w) of the pairs whose signatures agree in w >= LEAST_EQUAL values."""
-    sigs = classes.select("node", "sig")
-    half = pairs.join(sigs.hint("merge"), pairs["a"] == sigs["node"]).select("a", "b", F.col("sig").alias("x"))
-    both = half.join(sigs.withColumnRenamed("sig", "y").hint("merge"), half["b"] == F.col("node")).select("a", "b", "x", "y")
-    return scratch.save(both.mapInArrow(_estimate, "a long, b long, w int"))
+def candidates(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b, w), a < b, of neighbours in some tree, and the nodes that lie in a crowd of some tree; classes have node and sig."""
+    slices = F.array(*[F.concat(*[F.substring("sig", 2 * int(i) + 1, 2) for i in order]) for order in ORDERS])
+    rows = classes.select("node", "sketch", F.posexplode(slices).alias("tree", "key")).select("tree", "key", "node", "sketch")
+    rows = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    scanned = scratch.save(rows.mapInArrow(_scan, _SCAN))
+    # A border has a few rows of the two partitions at it.
+    border = scanned.where("border is not null").groupBy("border").agg(F.collect_list(F.struct("tree", "key", "a", "sketch")).alias("rows")).select("rows")
+    found = scanned.where("border is null").select("a", "b", "w").union(border.mapInArrow(_border_pairs, _SCAN).select("a", "b", "w"))
+    # One shuffle for both: a crowd's member is a row without b.
+    found = scratch.save(found.groupBy("a", "b").agg(F.max("w").alias("w")))
+    scratch.drop(scanned)
+    return found.where("b is not null"), found.where("b is null").select(F.col("a").alias("node"))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,12 +333,13 @@ def sweep(crowd: DataFrame, texts: DataFrame, trees: range, scratch: Scratch) ->
     Runs of up to NEIGHBOURS + 1 such rows have met as neighbours. In a larger run rows outside
     its largest component, on the left, are compared with all rows, on the right, block by block."""
     heads = F.array(*[F.struct(F.lit(t).alias("tree"), F.concat(*[F.substring("sig", 2 * int(i) + 1, 2) for i in ORDERS[t][:MIN_DEPTH]]).alias("head")) for t in trees])
-    rows = crowd.select("node", "part", F.explode(heads).alias("h")).select("h.tree", "h.head", "node", "part")
-    inside = rows.groupBy("tree", "head", "part").agg(F.count("*").alias("n"))
-    runs = inside.groupBy("tree", "head").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("m"))
+    rows = crowd.select("node", "n", "part", F.explode(heads).alias("h")).select("h.tree", "h.head", "node", "n", "part")
+    inside = rows.groupBy("tree", "head", "part").agg(F.count("*").alias("n"), F.sum("n").alias("size"))
+    runs = inside.groupBy("tree", "head").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "part", "size")).alias("m"))
     runs = runs.where((F.col("n") > NEIGHBOURS + 1) & (F.col("m.n") < F.col("n")))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    runs = scratch.save(runs.select("tree", "head", F.col("m.part").alias("most"), blocks(F.col("n") - F.col("m.n")).alias("nl"), blocks(F.col("n")).alias("nr")))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    outside = blocks(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size"))
+    runs = scratch.save(runs.select("tree", "head", F.col("m.part").alias("most"), outside.alias("nl"), blocks(F.col("n"), F.col("size")).alias("nr")))
     if runs.isEmpty():
         return None
     lot = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
@@ -345,55 +362,73 @@ def sweep(crowd: DataFrame, texts: DataFrame, trees: range, scratch: Scratch) ->
 
 
 def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for the classes that have a verified link."""
-    first = candidates(classes.withColumn("part", F.col("node")), scratch, ORDERS, MIN_DEPTH)
-    found = settle(likely(first, classes, scratch), texts, None, scratch)
-    # Rows of a run that is longer than neighbours reach have met some.
-    met = scratch.save(first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    crowd = scratch.save(classes.join(scratch.large(met), "node", "left_semi"))
+    """(node, component) for the classes that have a verified link; classes have node, n, sig and sketch."""
+    pairs, crowded = candidates(classes, scratch)
+    found = settle(pairs, texts, None, scratch)
+    crowd = scratch.save(classes.select("node", "n", "sig").join(scratch.large(crowded), "node", "left_semi"))
     for trees in ROUNDS:
         if found is None:
             parted = crowd.withColumn("part", F.col("node"))
         else:
             near = scratch.large(found)
-            parted = crowd.join(near, crowd["node"] == near["node"], "left").select(crowd["node"], "sig", F.coalesce("component", crowd["node"]).alias("part"))
+            parted = crowd.join(near, crowd["node"] == near["node"], "left").select(crowd["node"], "n", "sig", F.coalesce("component", crowd["node"]).alias("part"))
         ties = sweep(scratch.save(parted), texts, trees, scratch)
         if ties is not None and not ties.isEmpty():
             found = merged(found, ties, scratch)
     return found if found is not None else classes.select("node", F.col("node").alias("component")).limit(0)
 
 
+def _numbered(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFrame:
+    """near_duplicates for ids that are no whole numbers: ids are numbered in their order, and numbers named by ids again."""
+    scratch = Scratch(docs.sparkSession)
+    number, own, id_, root = fresh(docs.columns, "number", "own", "id_of", "root")
+    order = F.col(id_)
+    ids = docs.select(F.col(doc_id).alias(id_)).where(order.isNotNull()).distinct().repartitionByRange(order).sortWithinPartitions(order)
+    ids = scratch.save(ids.withColumn(number, F.monotonically_increasing_id()))
+    near = scratch.large(ids)
+    made = near_duplicates(docs.join(near, docs[doc_id] == near[id_], "left").drop(id_), number, text)
+    n, component, kept = made.columns[-3:]
+    names = ids.select(F.col(id_).alias(root), F.col(number).alias(own))
+    out = made.join(scratch.large(names), made[component] == F.col(own), "left")
+    return out.select(*[made[c] for c in keep], n, F.col(root).alias(fresh(docs.columns, "component_id")[0]), kept).withColumnsRenamed(dict(zip((n, kept), fresh(docs.columns, "n_shingles", "kept"))))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Append n_shingles, component_id and kept (names that clash get a trailing _).
+    """Append n_shingles, component_id (of the id's type) and kept (names that clash get a trailing _).
 
     Texts that are null or without words have no shingles and are linked with nothing. Copies of
     one shingle set are linked through their class. Rows that share an id count as one document;
     rows with a null id are linked with nothing, have a null component and are kept. An empty
-    table stays empty; long texts are compared whole."""
+    table stays empty; long texts are compared whole; ties are broken by the smallest id."""
     keep = docs.columns if keep is None else keep
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        return _numbered(docs, doc_id, text, keep)
     scratch = Scratch(docs.sparkSession)
-    key = ["n_", "s1_", "s2_"]
-    fields = [T.StructField(n, T.LongType()) for n in key] + [T.StructField("sig", T.BinaryType())]
-    base = docs.select(F.col(doc_id).cast("long").alias("id_"), F.col(text).alias("text"))
-    signed = scratch.save(map_texts(base, "text", fields, _sign, ["id_"]))
-    real = signed.where("n_ > 0 and id_ is not null")
+    key = ["n", "s1", "s2"]
+    fields = [T.StructField(n, T.LongType()) for n in key] + [T.StructField(n, T.BinaryType()) for n in ("sig", "sketch")]
+    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    signed = scratch.save(map_texts(base, "text", fields, _sign, ["id"]))
+    real = signed.where("n > 0 and id is not null")
     # Copies fold into their class before and after the shuffle.
-    classes = scratch.save(real.groupBy(*key).agg(F.min(F.struct("id_", "sig")).alias("m"), F.count("*").alias("copies")).select(*key, "m.id_", "m.sig", "copies").withColumnRenamed("id_", "node"))
-    texts = base.select(F.col("id_").alias("node"), "text").where("node is not null")
-    found = scratch.save(group(classes.select("node", "sig"), texts, scratch))
+    folded = real.groupBy(*key).agg(F.min(F.struct("id", "sig", "sketch")).alias("m"), F.count("*").alias("copies"))
+    classes = scratch.save(folded.select(*key, F.col("m.id").alias("node"), "m.sig", "m.sketch", "copies"))
+    texts = base.select(F.col("id").alias("node"), "text").where("node is not null")
+    found = scratch.save(group(classes.select("node", "n", "sig", "sketch"), texts, scratch))
     near = scratch.large(found)
     labelled = classes.join(near, classes["node"] == near["node"], "left").select(*key, F.coalesce("component", classes["node"]).alias("component"), "copies", F.col("component").isNotNull().alias("linked"))
     # Only classes whose component may differ from the document's own id are looked up.
     labels = scratch.save(labelled.where("copies > 1 or linked").select(*key, "component"))
-    own = signed.select("id_", *key).join(scratch.large(labels), key, "left").select("id_", "n_", F.coalesce("component", "id_").alias("c_")).distinct()
-    by_id = scratch.save(own.where("id_ is not null").groupBy("id_").agg(F.max("n_").alias("n_"), F.min("c_").alias("c_")))
+    own = signed.select("id", *key).join(scratch.large(labels), key, "left").select("id", "n", F.coalesce("component", "id").alias("c")).distinct()
+    by_id = scratch.save(own.where("id is not null").groupBy("id").agg(F.max("n").alias("n"), F.min("c").alias("c")))
     names = fresh(docs.columns, "n_shingles", "component_id", "kept")
+    id_, own_n, k_, n_, c_ = fresh([*docs.columns, *names], "id_of", "own_n", "key_of", "n_of", "component_of")
+    kind = docs.schema[doc_id].dataType
     if keep == [doc_id]:
         # Nothing but the id is wanted: no text is read again.
-        rows = signed.select(F.col("id_").cast(docs.schema[doc_id].dataType).alias(doc_id), F.col("id_"), F.col("n_").alias("own_n"))
+        rows = signed.select(F.col("id").cast(kind).alias(doc_id), F.col("id").alias(id_), F.col("n").alias(own_n))
     else:
-        rows = docs.select(*keep, F.col(doc_id).cast("long").alias("id_"), F.lit(None).cast("long").alias("own_n"))
-    right = scratch.large(by_id).select(F.col("id_").alias("k_"), "n_", "c_")
-    out = rows.join(right, rows["id_"] == F.col("k_"), "left")
-    made = [F.coalesce("own_n", "n_", F.lit(0)), F.col("c_"), F.coalesce(F.col("c_") == F.col("id_"), F.lit(True))]
-    return out.select(*[rows[c] for c in keep], *[c.alias(n) for c, n in zip(made, names)])
+        rows = docs.select(*keep, F.col(doc_id).cast("long").alias(id_), F.lit(None).cast("long").alias(own_n))
+    right = scratch.large(by_id.select(F.col("id").alias(k_), F.col("n").alias(n_), F.col("c").alias(c_)))
+    out = rows.join(right, F.col(id_) == F.col(k_), "left")
+    made = [F.coalesce(own_n, n_, F.lit(0)), F.col(c_).cast(kind), F.coalesce(F.col(c_) == F.col(id_), F.lit(True))]
+    return out.select(*keep, *[c.alias(n) for c, n in zip(made, names)])
