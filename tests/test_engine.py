@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import parsing as P
 from kinweave.functions import scalars as X
-from kinweave.operators import blocking, clustering, eda, metrics, profiles, sampling
+from kinweave.operators import blocking, clustering, components, eda, metrics, profiles, sampling
 from kinweave.operators.components import connected_components
 from kinweave.plans import queries as Q
 from kinweave.session import Scratch
@@ -91,7 +91,9 @@ def test_recall_without_pairs(spark):
     assert blocking.blocking_recall(none, labels).first().recall == 1.0
 
 
-def test_components_against_brute_force(spark):
+@pytest.mark.parametrize("block", [1 << 18, 8])
+def test_components_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(components, "BLOCK_EDGES", block)
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(7, 7), (1, None)]
     parent = {}
