@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
+    # What a Python worker and its task hold of a table at once.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
@@ -41,10 +45,12 @@ def new_session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named (local tests)."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is named and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder; executors can't share a local one")
     own = f"file://{tempfile.mkdtemp(prefix='kinweave-')}"
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -61,9 +67,10 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
+@atexit.register
+def _delete_at_exit() -> None:
     try:
-        _delete(spark, path)
+        Scratch.sweep(set())
     except Exception:  # the session is already gone
         pass
 
@@ -71,10 +78,19 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
+    #: Folders that have not been deleted yet.
+    live: dict[str, SparkSession] = {}
+
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/kinweave/{uuid.uuid4().hex}"
         self.saved: dict[int, tuple[DataFrame, str]] = {}
-        atexit.register(_delete_at_exit, spark, self.base)
+        self.live[self.base] = spark
+
+    @classmethod
+    def sweep(cls, keep: set[str]) -> None:
+        """Delete all folders but those kept: what a finished step has left."""
+        for base in [b for b in cls.live if b not in keep]:
+            _delete(cls.live.pop(base), base)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{len(self.saved)}"
