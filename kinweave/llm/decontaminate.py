@@ -8,11 +8,13 @@ ends rule out fall away, and the rest are verified word by word."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import fresh, lower_ascii
-from kinweave.session import Scratch
+from kinweave.session import BROADCAST_BYTES, Scratch
 
 #: Production parameters: words of a window, and the share of words hit, in twentieths.
 WINDOW, MIN_TWENTIETHS = 13, 1
@@ -34,30 +36,40 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
 
 
 def prefixes(windows: DataFrame, docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
-    """(word, offset, len, win): the rarest word of each distinct window, by documents that have it."""
+    """(word, offset, len, win, first, last): the rarest word of each distinct window, by documents that have it."""
     tokens = windows.select("win", "len").distinct().select("win", "len", F.posexplode(F.split("win", " ")).alias("offset", "word"))
     tokens = scratch.save(tokens)
     known = scratch.save(tokens.select("word").distinct())
     seen = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("word")).join(scratch.small(known), "word", "left_semi")
     counts = scratch.save(seen.groupBy("word").agg(F.count("*").alias("df")))
     ranked = tokens.join(scratch.small(counts), "word", "left").select("win", "len", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "offset").alias("t"))
-    return ranked.groupBy("win", "len").agg(F.min("t").alias("t")).select("t.word", "t.offset", "len", "win")
+    least = ranked.groupBy("win", "len").agg(F.min("t").alias("t"))
+    return least.select("t.word", "t.offset", "len", "win", F.substring_index("win", " ", 1).alias("first"), F.substring_index("win", " ", -1).alias("last"))
+
+
+def _parts(prefix: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """The saved prefix table for broadcasts: one, or parts of its words that each fit the limit."""
+    # Files are compressed: the limit is taken at a quarter of their size.
+    n = -(-scratch.bytes(prefix) * 4 // BROADCAST_BYTES) or 1
+    return [F.broadcast(prefix.where(F.pmod(F.xxhash64("word"), F.lit(n)) == k) if n > 1 else prefix) for k in range(n)]
 
 
 def find_hits(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, scratch: Scratch) -> DataFrame:
-    """(k, h, n_hit, n_items, items_sha256) for the documents (k = id, h = hash of the text) that a window occurs in."""
+    """(k, h, n_hit, n_items, items_sha256) for the documents (k = id, h = hash of the text) that a window occurs in.
+
+    A document's words meet the prefix table and its candidates are verified in one stage: only
+    true hits are shuffled, never a text."""
     keyed = docs.select(F.col(doc_id).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("x"))
     windows = scratch.save(item_windows(items, item_id, item_text))
     prefix = scratch.save(prefixes(windows, keyed, "x", scratch))
-    places = keyed.select("k", "h", words(F.col("x")).alias("w")).select("k", "h", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    places = keyed.select("k", "h", words(F.col("x")).alias("w")).select("k", "h", "w", F.posexplode("w").alias("pos", "own"))
     start = F.col("pos") - F.col("offset")
-    found = places.join(scratch.small(prefix), "word").where((start >= 0) & (start + F.col("len") <= F.col("n")))
-    per_doc = scratch.save(found.groupBy("k", "h").agg(F.collect_set(F.struct(start.alias("s"), "len", "win")).alias("c")))
-
-    near = scratch.large(per_doc)
-    joined = keyed.join(near, keyed["k"].eqNullSafe(per_doc["k"]) & (keyed["h"] == per_doc["h"])).select(keyed["k"], keyed["h"], words(F.col("x")).alias("w"), "c")
-    exact = F.filter("c", lambda c: F.array_join(F.slice("w", c.s + 1, c.len), " ") == c.win)
-    hits = scratch.save(joined.dropDuplicates(["k", "h"]).select("k", "h", F.array_sort(exact).alias("c")).where(F.size("c") > 0))
+    inside = (start >= 0) & (start + F.col("len") <= F.size("w"))
+    # The ends are compared first: they differ for most candidates.
+    ends = (F.get("w", start) == F.col("first")) & (F.get("w", start + F.col("len") - 1) == F.col("last"))
+    exact = F.array_join(F.slice("w", start + 1, F.col("len")), " ") == F.col("win")
+    found = [places.join(p, (F.col("own") == F.col("word")) & inside & ends & exact).select("k", "h", F.struct(start.alias("s"), "len", "win").alias("c")) for p in _parts(prefix, scratch)]
+    hits = scratch.save(reduce(DataFrame.union, found).groupBy("k", "h").agg(F.array_sort(F.collect_set("c")).alias("c")))
     covered = F.aggregate(
         "c",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
