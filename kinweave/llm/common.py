@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from kinweave.session import Scratch, configure
 
-__all__ = ["Scratch", "configure", "fresh", "lower_ascii", "map_texts", "read", "sliced"]
+__all__ = ["Scratch", "configure", "fresh", "lower_ascii", "map_texts", "read", "release", "sliced"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For bytes.translate: lower-cases A-Z only.
@@ -40,6 +42,15 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def release() -> None:
+    """Give what a finished task held back to the system: Spark reuses its Python workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def sliced(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about `limit` bytes, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -74,5 +85,7 @@ def map_texts(
                 made = work(part.column(at).to_pylist())
                 arrays = [part.column(i) for i in kept] + [pa.array(v, t) for v, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        del work
+        release()
 
     return df.mapInArrow(run, schema)
