@@ -9,8 +9,12 @@ A block of buckets is sorted as the difference-cover method has it: the position
 that lie in a cover modulo PERIOD are ranked first; suffixes are then sorted to PERIOD bytes, one
 bucket of leading bytes at a time, and longer ties are resolved by comparing, for each pair, the
 cover ranks at the one shift where both positions are in the cover. Neighbours in the sorted order are
-compared byte by byte, so no hash decides what is removed, except in buckets with more distinct pieces than one task
-should hold: their strings are counted by a 128-bit hash instead, with partial sums."""
+compared byte by byte.
+
+Hashes decide in two places, each by 128 bits. Pieces fold if bucket, piece hash and length agree, so copies are
+repeated without a comparison of bytes. And in a bucket of more than HOT distinct pieces, which would have to meet in
+one task, the strings are counted by two hashes with partial sums. Of n strings, two different ones take
+one hash with a probability of about n * n / 2^129: 1e-11 for the 1e14 strings of 100 TB."""
 
 from __future__ import annotations
 
@@ -30,7 +34,7 @@ from kinweave.session import Scratch
 LENGTH, GRAM = 200, 48
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text sorted at a time, suffixes sorted at a time, distinct pieces of a bucket that one task holds.
-BLOCK, SLICE, HOT = 4 << 20, 1 << 18, 2048
+BLOCK, SLICE, HOT = 2 << 20, 1 << 17, 2048
 
 #: The powers of 2 modulo 73 are a perfect difference cover: every shift modulo 73 is a difference of two of them.
 PERIOD = 73
@@ -192,6 +196,8 @@ def repeated(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     sizes = np.bincount(leading, minlength=1 << 16)
     slices = np.cumsum(sizes) // SLICE
     out = np.zeros(len(starts), bool)
+    # Which start each position of a slice is; read only where the slice has written it.
+    where = np.empty(len(text), np.int64)
     number = slices[leading]
     by_slice = np.argsort(number, kind="stable")
     for part in np.split(by_slice, np.flatnonzero(np.diff(number[by_slice])) + 1):
@@ -206,7 +212,6 @@ def repeated(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         tied = np.zeros(len(at), bool)
         tied[1:] |= ~differs[1:]
         tied[:-1] |= ~differs[1:]
-        where = np.full(len(text), -1, np.int64)
         where[at] = part
         if tied.any():
             at[tied] = resolve_ties(at[tied], group[tied], ranks)
@@ -318,8 +323,9 @@ def _merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def repeated_ranges(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
     """(k, h, ranges): the byte ranges that repeated strings cover, for documents that have any."""
-    keyed = docs.select(F.col(doc_id).cast("long").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("x"))
-    found = scratch.save(keyed.mapInArrow(_segment_rows, "k long, h long, lo int, n short, b long, c long"))
+    keyed = docs.select(F.col(doc_id).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("x"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    found = scratch.save(keyed.mapInArrow(_segment_rows, f"k {kind}, h long, lo int, n short, b long, c long"))
     # Most strings' buckets hold one segment: these fall away first.
     shared = scratch.save(found.groupBy("b").agg(F.count("*").alias("m")).where("m > 1").select("b"))
     segs = scratch.save(found.join(scratch.large(shared), "b", "left_semi"))
@@ -344,10 +350,10 @@ def repeated_ranges(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -
     runs = scratch.save(runs)
     alone = scratch.save(pieces.join(scratch.large(width), "b", "left_anti").select("b", "c"))
     whole = segs.join(scratch.large(alone), ["b", "c"], "left_semi").select("k", "h", "lo", F.col("n").cast("int").alias("n"))
-    whole = whole.mapInArrow(_whole_runs, "k long, h long, lo int, runs binary")
+    whole = whole.mapInArrow(_whole_runs, f"k {kind}, h long, lo int, runs binary")
     partly = segs.join(scratch.large(runs), ["b", "c"]).select("k", "h", "lo", "runs")
     per_doc = whole.union(partly).groupBy("k", "h").agg(F.collect_set(F.struct("lo", "runs")).alias("parts"))
-    return scratch.save(per_doc.mapInArrow(_merge_ranges, "k long, h long, ranges binary"))
+    return scratch.save(per_doc.mapInArrow(_merge_ranges, f"k {kind}, h long, ranges binary"))
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +387,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ranges = scratch.large(repeated_ranges(docs, doc_id, text, scratch))
     k, h, r, x = fresh(docs.columns, "k_", "h_", "ranges_", "text_")
     right = ranges.select(F.col("k").alias(k), F.col("h").alias(h), F.col("ranges").alias(r))
-    joined = docs.join(right, docs[doc_id].cast("long").eqNullSafe(F.col(k)) & (F.xxhash64(docs[text]) == F.col(h)), "left").select(*[docs[c] for c in keep], docs[text].alias(x), r)
+    joined = docs.join(right, docs[doc_id].eqNullSafe(F.col(k)) & (F.xxhash64(docs[text]) == F.col(h)), "left").select(*[docs[c] for c in keep], docs[text].alias(x), r)
     names = fresh(keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")[: 5 if texts else 4]
     types = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BinaryType()]
     schema = T.StructType([joined.schema[c] for c in keep] + [T.StructField(n, t) for n, t in zip(names, types)])
