@@ -20,14 +20,15 @@ from pyspark.sql import types as T
 from kinweave.llm.common import fresh, map_texts
 from kinweave.llm.pretokens import Splitter, tokenizer
 
-#: Entries of the broadcast table, rows of the sample it is fitted on, entries of a worker's cache.
-TABLE_SIZE, SAMPLE_DOCS, CACHE_SIZE = 1 << 15, 4096, 400_000
+#: Entries of the broadcast table, rows of the sample it is fitted on, entries of a worker's cache, words encoded at a time.
+TABLE_SIZE, SAMPLE_DOCS, CACHE_SIZE, PORTION = 1 << 15, 4096, 250_000, 4096
 SAMPLE_TASKS, SAMPLE_SEED = 8, 11
 
 
 def lengths_of(path: str, words: list[str]) -> list[int]:
-    """Tokens of each pre-token; a pre-token alone is always split into itself."""
-    return [len(e) for e in tokenizer(path).encode_batch(words, add_special_tokens=False)]
+    """Tokens of each pre-token; a pre-token alone is always split into itself. Encoded in portions, as encodings are large."""
+    encode = tokenizer(path).encode_batch
+    return [len(e) for i in range(0, len(words), PORTION) for e in encode(words[i : i + PORTION], add_special_tokens=False)]
 
 
 def pack(words: list[str], lengths: list[int]) -> tuple[bytes, bytes, bytes]:
