@@ -58,14 +58,16 @@ def cluster(scored: DataFrame, threshold: float = 0.95, method: str = "complete"
     pairs = scratch.save(scored.groupBy("a", "b").agg(F.max("p").alias("p")))
     strong = pairs.where(F.col("p") >= threshold)
     comp = connected_components(strong, scratch)
+    # A component is linked in one task: sizes are checked before any is gathered.
+    widest = comp.groupBy("component").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "component")).alias("m")).first().m
+    if widest and widest.n > max_component:
+        raise ValueError(f"component {widest.component} has {widest.n}, more than {max_component} members; raise the threshold or the limit")
     kind = scored.schema["a"].dataType.simpleString()
     # Average linkage also needs the weak pairs inside a component.
     edges = (pairs if method == "average" else strong).join(comp.select(F.col("node").alias("a"), "component"), "a")
     edges = edges.join(comp.select(F.col("node").alias("b"), F.col("component").alias("c2")), "b").where("component = c2").select("component", "a", "b", "p")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(set(pdf.a) | set(pdf.b)) > max_component:
-            raise ValueError(f"component {pdf.component.iloc[0]} has more than {max_component} members; raise the threshold or the limit")
         found = link({(a, b): p for a, b, p in zip(pdf.a, pdf.b, pdf.p)}, threshold, method)
         return pd.DataFrame([(m[0], x) for m in found for x in m], columns=["cluster_id", "profile_id"])
 

@@ -64,8 +64,11 @@ def preprocess(raw: DataFrame) -> DataFrame:
     df = df.withColumns({"fs": P.key_values(F.col("fs_features")), "npf": P.key_values(F.col("non_processing_features")), "rt": P.realtime(F.col("realtime_features"))})
     df = drop_repeats(df.drop("fs_features", "non_processing_features", "realtime_features"))
     if "entity_id" in df.columns:
-        df = unify_labels(df)
-        if "entity_type" not in df.columns:
+        given = "entity_type" in df.columns
+        # Both labels come from one latest row.
+        pair = df.withColumn("__own", F.struct("entity_id", *["entity_type"] * given)).drop("entity_id", "entity_type")
+        df = unify_labels(pair, label="__own").select(*pair.drop("__own").columns, "__own.*")
+        if not given:
             df = df.join(entity_types(df), "entity_id", "left")
     pick = lambda k: F.coalesce(F.col("npf")[k], F.col("fs")[k])
     df = df.withColumns({k: pick(k) for k in ("osfamily", "device", "browser", "geoname_id", "subdivision_1_iso_code")})
@@ -116,10 +119,11 @@ def category_index(clean: DataFrame) -> DataFrame:
     return _index(clean, CATEGORY_PREFIXES, X.clean_category(F.col("v")), "value")
 
 
-def idf(index: DataFrame, item: str, n: int | Column, owner: str = "profile_id") -> DataFrame:
-    """(item, df, idf): ln(n / owners that have the item)."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return index.groupBy(item).agg(F.count_distinct(owner).alias("df")).withColumn("idf", F.log(n / F.col("df")))
+def idf(index: DataFrame, item: str, n: int | DataFrame, owner: str = "profile_id") -> DataFrame:
+    """(item, df, idf): ln(n / owners that have the item); n is a number, or one row that has it."""
+    seen = index.groupBy(item).agg(F.count_distinct(owner).alias("df"))
+    seen = seen.withColumn("n", F.lit(n)) if isinstance(n, int) else seen.join(F.broadcast(n.select("n")))
+    return seen.select(item, "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
 def latest_row(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
