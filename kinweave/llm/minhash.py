@@ -13,7 +13,9 @@ components was met, so a document whose only partner lies in a crowd is linked t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, partial
 from itertools import groupby
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from kinweave.operators.components import connected_components, stars
 from kinweave.session import Scratch
 
 #: Production parameters. Each tree orders the classes by DEPTH of the VALUES minima, in an order of its own; a
-#: pair at 0.85 shares two leading values in none of 16 trees with probability 1e-9. The depth lets the order tell
+#: pair at 0.85 shares two leading values in none of 16 trees with probability 1e-9, one at 0.8 with 8e-8. The depth lets the order tell
 #: apart a crowd of thousands that share most values.
 SHINGLE, VALUES, TREES, DEPTH, MIN_DEPTH = 5, 128, 16, 16, 2
 #: Trees whose crowds are swept together: each round starts from the components of those before, so the later ones find little left.
@@ -37,14 +39,23 @@ ROUNDS = (range(0, 1), range(1, 4), range(4, TREES))
 BLOCK, BLOCK_SHINGLES, _COLUMNS = 1024, 1 << 20, 4096
 #: Neighbours taken on each side, and rounds of best-first verification before all remaining cross pairs are verified.
 NEIGHBOURS, BEST_ROUNDS = 4, 2
-#: Equal minima, of VALUES, that a candidate needs to be verified: 0.85 less 4.7 standard deviations, one wrong drop in a million.
-#: Sketches agree by chance in a sixteenth of the others, so they show a few more.
-LEAST_EQUAL = 90
-#: Similarity as a whole-number ratio: 100 * intersection >= 85 * union.
-THRESHOLD = 85
+#: Similarity of linked documents in percent: 100 * intersection >= THRESHOLD * union. A parameter of near_duplicates.
+THRESHOLD = 80
+#: Wrong drops, by the estimate of their equal minima, of pairs that lie right at the threshold.
+WRONG_DROPS = 1e-6
 _CACHE = 500_000
 
 
+@lru_cache(8)
+def least_equal(threshold: int) -> int:
+    """Equal minima, of VALUES, that a candidate needs to be verified: fewer are found at the threshold with a probability of
+    at most WRONG_DROPS. Sketches agree by chance in a sixteenth of the others, so they show a few more."""
+    p, k, fewer = threshold / 100, 0, 0.0
+    while (fewer := fewer + comb(VALUES, k) * p**k * (1 - p) ** (VALUES - k)) <= WRONG_DROPS:
+        k += 1
+    return k
+
+
 class _Words(dict):
     """64-bit hashes of words; bounded."""
 
@@ -125,11 +136,11 @@ def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _ZEROS[x ^ y].sum(axis=1, dtype=np.int32)
 
 
-def neighbour_pairs(keys: np.ndarray, trees: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, seen: int = 0):
+def neighbour_pairs(keys: np.ndarray, trees: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, least: int, seen: int = 0):
     """((a, b, w), crowd): pairs of sorted rows that a new row (from `seen` on) is part of, and the nodes of crowds.
 
     Rows that share MIN_DEPTH leading values are a run. In runs that neighbours span, all pairs whose sketches agree in
-    w >= LEAST_EQUAL values are candidates. Longer runs are crowds: each row keeps its most alike
+    w >= least values are candidates. Longer runs are crowds: each row keeps its most alike
     follower of NEIGHBOURS, which makes trees over the crowd; the crowd's other pairs are left to sweep()."""
     n = len(keys)
     heads = keys[:, :MIN_DEPTH]
@@ -144,7 +155,7 @@ def neighbour_pairs(keys: np.ndarray, trees: np.ndarray, nodes: np.ndarray, sket
         i = np.flatnonzero(together(s))
         i = i[i + s >= seen]
         w = agreeing(sketches[i], sketches[i + s])
-        i, w = i[w >= LEAST_EQUAL], w[w >= LEAST_EQUAL]
+        i, w = i[w >= least], w[w >= least]
         found.append(np.stack([i, i + s, w, np.full(len(i), s)], axis=1))
     rows = np.concatenate(found) if found else np.empty((0, 4), np.int64)
     rows = rows[np.lexsort([rows[:, 3], -rows[:, 2], rows[:, 0]])]
@@ -164,16 +175,16 @@ def _scanned(a, b=None, w=None, **border) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns.values(), kinds)], names=list(columns))
 
 
-def _neighbours(rows: list[tuple], seen: int = 0) -> Iterator[pa.RecordBatch]:
+def _neighbours(rows: list[tuple], least: int, seen: int = 0) -> Iterator[pa.RecordBatch]:
     """Candidates among sorted rows (tree, key, node, sketch), as (a, b, w); crowd members have no b."""
     tree, key, node, sketches = zip(*rows)
     keys = np.frombuffer(b"".join(key), ">u2").reshape(len(key), DEPTH)
-    pairs, crowd = neighbour_pairs(keys, np.array(tree), np.array(node, np.int64), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(rows), -1), seen)
+    pairs, crowd = neighbour_pairs(keys, np.array(tree), np.array(node, np.int64), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(rows), -1), least, seen)
     yield _scanned(*pairs)
     yield _scanned(np.unique(crowd))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Candidates of one sorted partition, and its first and last rows for the partitions beside it."""
     me, reach, head, tail = TaskContext.get().partitionId(), NEIGHBOURS + 1, [], []
     for batch in batches:
@@ -181,52 +192,53 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not new:
             continue
         head += new[: reach - len(head)] if len(head) < reach else []
-        yield from _neighbours(tail + new, len(tail))
+        yield from _neighbours(tail + new, least, len(tail))
         tail = (tail + new)[-reach:]
     ends = [(r, me) for r in head] + [(r, me + 1) for r in tail]
     if ends:
         yield _scanned([r[2] for r, _ in ends], border=[x for _, x in ends], tree=[r[0] for r, _ in ends], key=[r[1] for r, _ in ends], sketch=[r[3] for r, _ in ends])
 
 
-def _border_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _border_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for members in batch.column(0).to_pylist():
-            yield from _neighbours(sorted({(m["tree"], m["key"], m["a"], m["sketch"]) for m in members}))
+            yield from _neighbours(sorted({(m["tree"], m["key"], m["a"], m["sketch"]) for m in members}), least)
 
 
-def candidates(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def candidates(classes: DataFrame, scratch: Scratch, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(a, b, w), a < b, of neighbours in some tree, and the nodes that lie in a crowd of some tree; classes have node and sig."""
+    least = least_equal(threshold)
     slices = F.array(*[F.concat(*[F.substring("sig", 2 * int(i) + 1, 2) for i in order]) for order in ORDERS])
     rows = classes.select("node", "sketch", F.posexplode(slices).alias("tree", "key")).select("tree", "key", "node", "sketch")
     rows = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    scanned = scratch.save(rows.mapInArrow(_scan, _SCAN))
+    scanned = scratch.save(rows.mapInArrow(partial(_scan, least=least), _SCAN))
     # A border has a few rows of the two partitions at it.
     border = scanned.where("border is not null").groupBy("border").agg(F.collect_list(F.struct("tree", "key", "a", "sketch")).alias("rows")).select("rows")
-    found = scanned.where("border is null").select("a", "b", "w").union(border.mapInArrow(_border_pairs, _SCAN).select("a", "b", "w"))
+    found = scanned.where("border is null").select("a", "b", "w").union(border.mapInArrow(partial(_border_pairs, least=least), _SCAN).select("a", "b", "w"))
     # One shuffle for both: a crowd's member is a row without b.
     found = scratch.save(found.groupBy("a", "b").agg(F.max("w").alias("w")))
     scratch.drop(scanned)
     return found.where("b is not null"), found.where("b is null").select(F.col("a").alias("node"))
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     hashes = _Words()
     for batch in batches:
         ok = []
         for x, y in zip(batch.column(2), batch.column(3)):
             s, t = shingles(x.as_py(), hashes), shingles(y.as_py(), hashes)
             both = len(np.intersect1d(s, t, assume_unique=True))
-            ok.append(100 * both >= THRESHOLD * (len(s) + len(t) - both))
+            ok.append(100 * both >= threshold * (len(s) + len(t) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["ca", "cb", "ok"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     """(ca, cb), the components that the saved pairs (a, b, ca, cb) tie together as their full sets are similar. Only texts of wanted nodes are moved."""
     wanted = scratch.large(pairs)
     left = texts.join(wanted, texts["node"] == pairs["a"]).select("a", "b", "ca", "cb", F.col("text").alias("x"))
     right = texts.join(wanted, texts["node"] == pairs["b"]).select("a", "b", F.col("text").alias("y"))
     both = left.join(right.hint("merge"), ["a", "b"]).select("ca", "cb", "x", "y")
-    return scratch.save(both.mapInArrow(_compare, "ca long, cb long, ok boolean").where("ok").select("ca", "cb"))
+    return scratch.save(both.mapInArrow(partial(_compare, threshold=threshold), "ca long, cb long, ok boolean").where("ok").select("ca", "cb"))
 
 
 def merged(found: DataFrame | None, ties: DataFrame, scratch: Scratch) -> DataFrame:
@@ -239,7 +251,7 @@ def merged(found: DataFrame | None, ties: DataFrame, scratch: Scratch) -> DataFr
     return scratch.save(moved.union(step.join(scratch.large(found), "node", "left_anti").select("node", "component")))
 
 
-def settle(open_pairs: DataFrame, texts: DataFrame, found: DataFrame | None, scratch: Scratch) -> DataFrame | None:
+def settle(open_pairs: DataFrame, texts: DataFrame, found: DataFrame | None, scratch: Scratch, threshold: int) -> DataFrame | None:
     """(node, component) after all candidates were verified or lie inside one component; found holds what is known before."""
     if open_pairs.isEmpty():
         return found
@@ -262,7 +274,7 @@ def settle(open_pairs: DataFrame, texts: DataFrame, found: DataFrame | None, scr
             picked = scratch.save(sides.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b", "p.ca", "p.cb").distinct())
         else:
             picked = scratch.save(cross.select("a", "b", "ca", "cb"))
-        found = merged(found, verify(picked, texts, scratch), scratch)
+        found = merged(found, verify(picked, texts, scratch, threshold), scratch)
         open_pairs = scratch.save(cross.join(scratch.large(picked.select("a", "b")), ["a", "b"], "left_anti").select("a", "b", "w"))
         scratch.drop(cross)
     scratch.drop(texts)
@@ -276,22 +288,22 @@ def _units(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[tuple
         yield unit, [m[size:] for m in members]
 
 
-def closest(sigs: np.ndarray, parts: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Which rows have a row of another component on the other side whose signature agrees in LEAST_EQUAL values or more."""
+def closest(sigs: np.ndarray, parts: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
+    """Which rows have a row of another component on the other side whose signature agrees in `least` values or more."""
     hit, right = np.zeros(len(sigs), bool), np.flatnonzero(~left)
     x, y = sigs[right], parts[right]
     for i in np.flatnonzero(left):
-        found = right[((x == sigs[i]).sum(axis=1) >= LEAST_EQUAL) & (y != parts[i])]
+        found = right[((x == sigs[i]).sum(axis=1) >= least) & (y != parts[i])]
         hit[found] = True
         hit[i] = len(found) > 0
     return hit
 
 
-def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _crowded(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for unit, rows in _units(batches, 4):
         node, part, left, sigs = zip(*rows)
         parts = np.array(part, np.int64)
-        hit = closest(np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, VALUES), parts, np.array(left))
+        hit = closest(np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, VALUES), parts, np.array(left), least)
         # A row may lie on both sides.
         kept = sorted({(node[i], part[i]) for i in np.flatnonzero(hit)})
         columns = [[x] * len(kept) for x in unit] + [[k[0] for k in kept], [k[1] for k in kept]]
@@ -316,18 +328,18 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return both.astype(np.int64)
 
 
-def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tied(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     hashes = _Words()
     for _, rows in _units(batches, 4):
         parts = np.array([r[0] for r in rows], np.int64)
         sets = [shingles(r[1], hashes) for r in rows]
         both, size = overlaps(sets), np.array([len(s) for s in sets])
-        i, j = np.nonzero((both > 0) & (100 * both >= THRESHOLD * (size[:, None] + size - both)) & (parts[:, None] < parts))
+        i, j = np.nonzero((both > 0) & (100 * both >= threshold * (size[:, None] + size - both)) & (parts[:, None] < parts))
         ties = stars(zip(parts[i].tolist(), parts[j].tolist()))
         yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in ties], pa.int64()) for k in (0, 1)], names=["ca", "cb"])
 
 
-def sweep(crowd: DataFrame, texts: DataFrame, trees: range, scratch: Scratch) -> DataFrame | None:
+def sweep(crowd: DataFrame, texts: DataFrame, trees: range, scratch: Scratch, threshold: int) -> DataFrame | None:
     """(ca, cb), the components (part) that are tied by rows sharing MIN_DEPTH leading values in one of the trees; None if no rows are left to compare.
 
     Runs of up to NEIGHBOURS + 1 such rows have met as neighbours. In a larger run rows outside
@@ -351,20 +363,20 @@ def sweep(crowd: DataFrame, texts: DataFrame, trees: range, scratch: Scratch) ->
     sigs = crowd.select(F.col("node").alias("n_"), "sig")
     unit = ["tree", "head", "i", "j"]
     met = member.join(scratch.large(sigs), member["node"] == sigs["n_"]).select("tree", "head", "u.i", "u.j", "node", "part", "u.left", "sig")
-    hits = scratch.save(met.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_crowded, "tree int, head binary, i int, j int, node long, part long"))
+    hits = scratch.save(met.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(partial(_crowded, least=least_equal(threshold)), "tree int, head binary, i int, j int, node long, part long"))
     if hits.isEmpty():
         return None
     near = scratch.large(hits)
     full = texts.withColumnRenamed("node", "n_").join(near, F.col("n_") == near["node"]).select(*unit, "part", "text")
-    ties = scratch.save(full.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_tied, "ca long, cb long").distinct())
+    ties = scratch.save(full.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(partial(_tied, threshold=threshold), "ca long, cb long").distinct())
     scratch.drop(runs, hits)
     return ties
 
 
-def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def group(classes: DataFrame, texts: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     """(node, component) for the classes that have a verified link; classes have node, n, sig and sketch."""
-    pairs, crowded = candidates(classes, scratch)
-    found = settle(pairs, texts, None, scratch)
+    pairs, crowded = candidates(classes, scratch, threshold)
+    found = settle(pairs, texts, None, scratch, threshold)
     crowd = scratch.save(classes.select("node", "n", "sig").join(scratch.large(crowded), "node", "left_semi"))
     for trees in ROUNDS:
         if found is None:
@@ -372,13 +384,13 @@ def group(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
         else:
             near = scratch.large(found)
             parted = crowd.join(near, crowd["node"] == near["node"], "left").select(crowd["node"], "n", "sig", F.coalesce("component", crowd["node"]).alias("part"))
-        ties = sweep(scratch.save(parted), texts, trees, scratch)
+        ties = sweep(scratch.save(parted), texts, trees, scratch, threshold)
         if ties is not None and not ties.isEmpty():
             found = merged(found, ties, scratch)
     return found if found is not None else classes.select("node", F.col("node").alias("component")).limit(0)
 
 
-def _numbered(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFrame:
+def _numbered(docs: DataFrame, doc_id: str, text: str, keep: list[str], threshold: int) -> DataFrame:
     """near_duplicates for ids that are no whole numbers: ids are numbered in their order, and numbers named by ids again."""
     scratch = Scratch(docs.sparkSession)
     number, own, id_, root = fresh(docs.columns, "number", "own", "id_of", "root")
@@ -386,23 +398,24 @@ def _numbered(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataF
     ids = docs.select(F.col(doc_id).alias(id_)).where(order.isNotNull()).distinct().repartitionByRange(order).sortWithinPartitions(order)
     ids = scratch.save(ids.withColumn(number, F.monotonically_increasing_id()))
     near = scratch.large(ids)
-    made = near_duplicates(docs.join(near, docs[doc_id] == near[id_], "left").drop(id_), number, text)
+    made = near_duplicates(docs.join(near, docs[doc_id] == near[id_], "left").drop(id_), number, text, threshold=threshold)
     n, component, kept = made.columns[-3:]
     names = ids.select(F.col(id_).alias(root), F.col(number).alias(own))
     out = made.join(scratch.large(names), made[component] == F.col(own), "left")
     return out.select(*[made[c] for c in keep], n, F.col(root).alias(fresh(docs.columns, "component_id")[0]), kept).withColumnsRenamed(dict(zip((n, kept), fresh(docs.columns, "n_shingles", "kept"))))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, threshold: int = THRESHOLD) -> DataFrame:
     """Append n_shingles, component_id (of the id's type) and kept (names that clash get a trailing _).
 
+    Documents are linked where 100 * intersection >= threshold * union of their shingle sets.
     Texts that are null or without words have no shingles and are linked with nothing. Copies of
     one shingle set are linked through their class. Rows that share an id count as one document;
     rows with a null id are linked with nothing, have a null component and are kept. An empty
     table stays empty; long texts are compared whole; ties are broken by the smallest id."""
     keep = docs.columns if keep is None else keep
     if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
-        return _numbered(docs, doc_id, text, keep)
+        return _numbered(docs, doc_id, text, keep, threshold)
     scratch = Scratch(docs.sparkSession)
     key = ["n", "s1", "s2"]
     fields = [T.StructField(n, T.LongType()) for n in key] + [T.StructField(n, T.BinaryType()) for n in ("sig", "sketch")]
@@ -413,7 +426,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     folded = real.groupBy(*key).agg(F.min(F.struct("id", "sig", "sketch")).alias("m"), F.count("*").alias("copies"))
     classes = scratch.save(folded.select(*key, F.col("m.id").alias("node"), "m.sig", "m.sketch", "copies"))
     texts = base.select(F.col("id").alias("node"), "text").where("node is not null")
-    found = scratch.save(group(classes.select("node", "n", "sig", "sketch"), texts, scratch))
+    found = scratch.save(group(classes.select("node", "n", "sig", "sketch"), texts, scratch, threshold))
     near = scratch.large(found)
     labelled = classes.join(near, classes["node"] == near["node"], "left").select(*key, F.coalesce("component", classes["node"]).alias("component"), "copies", F.col("component").isNotNull().alias("linked"))
     # Only classes whose component may differ from the document's own id are looked up.

@@ -13,7 +13,7 @@ from kinweave.llm.common import read
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), keep=["doc_id"], threshold=85)
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def test_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
 
 
-def similar_groups(texts):
+def similar_groups(texts, threshold):
     sets = {}
     for i, t in texts.items():
         w = (t or "").encode().translate(minhash.LOWER_TABLE).split()
@@ -41,13 +41,14 @@ def similar_groups(texts):
     label = {i: i for i in sets}
     for i in sorted(sets):
         for j in sorted(sets):
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and label[i] != label[j]:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) and label[i] != label[j]:
                 a, b = sorted((label[i], label[j]))
                 label = {k: a if v == b else v for k, v in label.items()}
     return {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_near_duplicates(spark, threshold):
     rng = random.Random(2)
     base = [[rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(120)] for _ in range(6)]
     texts = {}
@@ -57,9 +58,9 @@ def test_near_duplicates(spark):
             w[rng.randrange(len(w))] = f"n{rng.randrange(4)}"
         texts[i] = " ".join(w)
     texts |= {200 + i: t for i, t in enumerate(ODD)} | {300: "ONE", 301: "a B c"}
-    out = minhash.near_duplicates(docs_of(spark, list(texts.values()), list(texts)))
+    out = minhash.near_duplicates(docs_of(spark, list(texts.values()), list(texts)), threshold=threshold)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()}
-    assert got == similar_groups(texts)
+    assert got == similar_groups(texts, threshold) and similar_groups(texts, 80) != similar_groups(texts, 85)
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
     odd = minhash.near_duplicates(spark.createDataFrame([(None, "a b"), (4, "a b"), (4, "a b"), (5, "A b")], "doc_id long, text string"))
     assert odd.count() == 4
@@ -72,10 +73,18 @@ def test_star_of_near_duplicates(spark):
     base = [word() for _ in range(300)]
     # Each copy adds 14 % own text: it is similar to the original alone.
     texts = {0: " ".join(base)} | {i: " ".join(base + [word() for _ in range(48)]) for i in range(1, 1400)}
-    out = minhash.near_duplicates(docs_of(spark, list(texts.values()), list(texts)), keep=["doc_id"])
+    out = minhash.near_duplicates(docs_of(spark, list(texts.values()), list(texts)), keep=["doc_id"], threshold=85)
     assert {(r.component_id, r.kept) for r in out.where("doc_id > 0").collect()} == {(0, False)}
 
 
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_estimates_drop_one_in_a_million(threshold):
+    rng = np.random.default_rng(5)
+    least = minhash.least_equal(threshold)
+    fewer = (rng.binomial(minhash.VALUES, threshold / 100, 20_000_000) < least).mean()
+    assert fewer <= 1.5e-6 and (rng.binomial(minhash.VALUES, threshold / 100, 20_000_000) <= least).mean() > 5e-7
+
+
 def test_overlaps(monkeypatch):
     monkeypatch.setattr(minhash, "_COLUMNS", 3)
     rng = np.random.default_rng(1)
@@ -283,7 +292,7 @@ def test_pipeline(spark):
     con = duckdb.connect()
     docs = {r[0]: r[1:] for r in con.execute(f"select doc_id, text, source from '{DATA}/documents.parquet'").fetchall()}
     judged = {r.doc_id: r.kept for r in queries.op7_quality_rules(spark, DATA).collect()}
-    groups = similar_groups({i: t for i, (t, _) in docs.items() if judged[i]})
+    groups = similar_groups({i: t for i, (t, _) in docs.items() if judged[i]}, 80)
     dirty = {r.doc_id for r in queries.op4_decontamination(spark, DATA).where("contaminated").collect()}
     left = {i for i, (_, _, kept) in groups.items() if kept and i not in dirty}
     assert set(out) == left
