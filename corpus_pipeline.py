@@ -14,6 +14,9 @@ from kinweave.llm import bpe, decontaminate, minhash, pii, quality
 from kinweave.llm.common import configure, fresh, read
 from kinweave.session import Scratch
 
+#: Percent of the union of two documents' five-word shingles that near-duplicates share at least.
+SIMILAR = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules or their host's verdict reject.
@@ -26,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, the one of the smallest id. Rows are numbered in order of
-    their ids, so repeats of one id and rows without an id are grouped like others.
+    """Keeps one document of each near-duplicate group, the one of the smallest id. Documents are linked at a similarity of
+    SIMILAR percent or more. Rows are numbered in order of their ids, so repeats of one id and rows without an id are grouped like others.
 
     Rows whose text is null or has no words are linked with nothing and stay; of exact copies the first row stays; an
     empty table stays empty; long texts are compared whole; columns beyond those of documents pass through."""
@@ -37,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     sorted_docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = Scratch(spark).save(sorted_docs.withColumn(row, F.monotonically_increasing_id()))
-    grouped = minhash.near_duplicates(numbered, row)
+    grouped = minhash.near_duplicates(numbered, row, threshold=SIMILAR)
     return grouped.where(F.col(grouped.columns[-1])).select(*docs.columns)
 
 
