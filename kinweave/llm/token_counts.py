@@ -3,12 +3,15 @@
 Tier one is a compact table of frequent pre-tokens and their token counts, broadcast to all
 tasks; its size is a parameter and doesn't grow with the corpus. Tier two is a bounded cache in
 each Python worker, filled by encoding what tier one misses. No pre-token is ever shuffled.
-The table is fitted on a bounded, seeded random sample of documents; it only saves time, since
-counts are the same whatever it holds."""
+The table comes from heavy-hitter summaries over all documents: each task keeps a bounded summary
+of the space-separated chunks it reads, and summaries are merged in rounds, many to one. It only
+saves time, since counts are the same whatever it holds."""
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from functools import partial
 from itertools import islice
 
 import numpy as np
@@ -17,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.llm.common import fresh, map_texts
+from kinweave.llm.common import fresh, map_texts, release, sliced
 from kinweave.llm.pretokens import Splitter, tokenizer
+from kinweave.session import Scratch
 
-#: Entries of the broadcast table, rows of the sample it is fitted on, entries of a worker's cache, words encoded at a time.
-TABLE_SIZE, SAMPLE_DOCS, CACHE_SIZE, PORTION = 1 << 15, 4096, 250_000, 4096
-SAMPLE_TASKS, SAMPLE_SEED = 8, 11
+#: Entries of the broadcast table and of a summary, entries of a worker's cache, words encoded at a time.
+TABLE_SIZE, SUMMARY_SIZE, CACHE_SIZE, PORTION = 1 << 15, 1 << 15, 250_000, 4096
+#: Characters of the longest word in the table, and summaries that one task merges.
+LONGEST, FAN = 64, 64
 
 
 def lengths_of(path: str, words: list[str]) -> list[int]:
@@ -43,34 +48,83 @@ def unpack(table: tuple[bytes, bytes, bytes]) -> dict[str, int]:
     return {blob[a:b].decode(): n for a, b, n in zip([0, *ends], ends, lengths)}
 
 
-def frequent_table(docs: DataFrame, text: str, path: str, size: int = TABLE_SIZE, sample_docs: int = SAMPLE_DOCS) -> tuple[bytes, bytes, bytes]:
-    """The commonest pre-tokens of a sample of about `sample_docs` documents, at most `size` of them.
-
-    Rows are drawn one by one, so copies of one text can't swell the sample; all tasks scan, and
-    only the drawn rows are dealt out anew. Each of a fixed number of tasks sends its own commonest pre-tokens, so what reaches the
-    driver is bounded by the parameters."""
-    total = docs.count()
-    if not total:
-        return pack([], [])
-    per_task = 2 * size // SAMPLE_TASKS
-    rate = min(1.0, sample_docs / total)
-    picked = docs.select(F.col(text).alias("text")).where(F.rand(SAMPLE_SEED) < rate).repartition(SAMPLE_TASKS)
-
-    def count(batches):
-        split, seen = Splitter(path), Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                for s in split.segments(t or ""):
-                    if not isinstance(s, int):
-                        seen.update(s)
-        best = seen.most_common(per_task)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["word", "n"])
-
-    total_of: Counter = Counter()
-    for row in picked.mapInArrow(count, "word string, n long").toLocalIterator():
-        if len(row.word) <= 64:
-            total_of[row.word] += row.n
-    words = [w for w, _ in total_of.most_common(size)]
+def shrink(seen: dict[str, int], size: int) -> dict[str, int]:
+    """The `size` commonest entries at most, less the count of the next one, so that summaries can be merged: what is
+    lost of a count is at most 1 / (size + 1) of all that was counted, over any number of merges."""
+    if len(seen) <= size:
+        return seen
+    cut = int(np.partition(np.fromiter(seen.values(), np.int64, len(seen)), len(seen) - size - 1)[len(seen) - size - 1])
+    return {w: n - cut for w, n in seen.items() if n > cut}
+
+
+def _add(seen: dict[str, int], more, size: int) -> dict[str, int]:
+    for w, n in more:
+        seen[w] = seen.get(w, 0) + n
+    return shrink(seen, size) if len(seen) > 2 * size else seen
+
+
+_SUMMARY = "words string, counts binary"
+
+
+def _summary(seen: dict[str, int], size: int) -> pa.RecordBatch:
+    """One row: the chunks, which have no spaces, joined by spaces, and their counts."""
+    seen = shrink(seen, size)
+    counts = np.fromiter(seen.values(), np.int64, len(seen)).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([" ".join(seen)], pa.string()), pa.array([counts], pa.binary())], names=["words", "counts"])
+
+
+def _entries(words: str, counts: bytes):
+    return zip(words.split(" "), np.frombuffer(counts, np.int64).tolist())
+
+
+def _summarize(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    seen: dict[str, int] = {}
+    for batch in batches:
+        for part in sliced(batch, 0):
+            chunks: Counter = Counter()
+            for t in part.column(0).to_pylist():
+                chunks.update((t or "").split(" "))
+            seen = _add(seen, ((w, n) for w, n in chunks.items() if len(w) < LONGEST), size)
+    if seen:
+        yield _summary(seen, size)
+    del seen
+    release()
+
+
+def _merge(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    seen: dict[str, int] = {}
+    for batch in batches:
+        for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            seen = _add(seen, _entries(words, counts), size)
+    if seen:
+        yield _summary(seen, size)
+
+
+def heavy_chunks(docs: DataFrame, text: str, size: int = SUMMARY_SIZE, fan: int = FAN) -> dict[str, int]:
+    """At most `size` space-separated chunks of all texts, with counts that lack at most 1 / (size + 1) of all chunks.
+
+    A task sends one row, and no chunk is shuffled: summaries are written and read again by fewer tasks, `fan` to
+    one, until one row is left, so that neither a task nor the driver holds more than the parameters say."""
+    scratch = Scratch(docs.sparkSession)
+    made = scratch.save(docs.select(F.col(text).alias("text")).mapInArrow(partial(_summarize, size=size), _SUMMARY))
+    while (n := made.count()) > 1:
+        old, made = made, scratch.save(made.coalesce(-(-n // fan)).mapInArrow(partial(_merge, size=size), _SUMMARY))
+        scratch.drop(old)
+    rows = made.collect()
+    scratch.drop(made)
+    return dict(_entries(*rows[0])) if rows else {}
+
+
+def frequent_table(docs: DataFrame, text: str, path: str, size: int = TABLE_SIZE) -> tuple[bytes, bytes, bytes]:
+    """The commonest pre-tokens of the corpus' commonest chunks, at most `size` of them."""
+    split, total = Splitter(path), Counter()
+    for chunk, n in heavy_chunks(docs, text).items():
+        # Most chunks follow a space, which their first pre-token takes in.
+        for s in split.segments(f" {chunk}"):
+            if not isinstance(s, int):
+                for w in s:
+                    total[w] += n
+    words = [w for w, _ in total.most_common(size)]
     return pack(words, lengths_of(path, words))
 
 

@@ -125,6 +125,22 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(docs_of(spark, []), BYTE).count() == 0
 
 
+def test_heavy_chunks(spark):
+    rng = random.Random(5)
+    texts = [None, "", "  ", "y" * 100, *(" ".join(rng.choice(["the", "of", f"r{rng.randrange(2000)}"]) for _ in range(80)) for _ in range(60)), "late " * 400]
+    want = Counter(w for t in texts for w in (t or "").split(" "))
+    # Many summaries, merged over several rounds; what is missing of a count keeps to its bound.
+    got = token_counts.heavy_chunks(docs_of(spark, texts).repartition(20), "text", size=50, fan=3)
+    lost = sum(want.values()) / 51
+    assert len(got) <= 50 and all(want[w] - lost <= n <= want[w] for w, n in got.items())
+    assert all(w in got for w, n in want.items() if n > lost and len(w) < token_counts.LONGEST) and {"the", "of", "late"} <= got.keys()
+    exact = token_counts.heavy_chunks(docs_of(spark, texts), "text")
+    assert exact == {w: n for w, n in want.items() if len(w) < token_counts.LONGEST}
+    assert token_counts.heavy_chunks(docs_of(spark, []), "text") == {}
+    words = token_counts.unpack(token_counts.frequent_table(docs_of(spark, texts), "text", BYTE, size=20))
+    assert len(words) == 20 and words[" the"] == 1 and words[" late"] == 1
+
+
 def test_contamination_edges(spark):
     items = spark.createDataFrame([("b", "The quick brown fox"), ("a", None), (None, "...")], "item_id string, text string")
     texts = [None, "", "the QUICK brown-fox", "quick brown fox the", "the quick brown fox " * 2 + "x " * 400, "the quick brown fox the quick"]
