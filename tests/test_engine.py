@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import parsing as P
 from kinweave.functions import scalars as X
-from kinweave.operators import blocking, clustering, components, eda, metrics, profiles, sampling
+from kinweave.operators import blocking, clustering, components, eda, features, metrics, profiles, sampling
 from kinweave.operators.components import connected_components
+from kinweave.plans import linkage
 from kinweave.plans import queries as Q
 from kinweave.session import Scratch
 from kinweave.sources import files
@@ -222,3 +223,63 @@ def test_components_of_all_suppliers(spark, tmp_path):
     spark.createDataFrame([(i,) for i in keys], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
     got = {r.node: r.component for r in Q.components(spark, str(tmp_path)).collect()}
     assert got == {i: (i - 1) % 7 + 1 for i in range(1, 108)}
+
+
+def _noisy_pairs(spark, rows, salt):
+    names = linkage.features_of.NAMES
+    of = lambda k: F.pmod(F.xxhash64("id", F.lit(salt), F.lit(k)), F.lit(50)).cast("double")
+    made = spark.range(rows).select("id", *[of(k).alias(n) for k, n in enumerate(names)])
+    return made.withColumn("label", (F.col(names[0]) + F.col(names[9]) + 0.4 * of(99) > 70).cast("int")).drop("id").repartition(8).cache()
+
+
+def test_fit_keeps_the_trees_of_sparks_own_validation(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    config = files.Config(trees=60, learning_rate=0.5)
+    train, held = (_noisy_pairs(spark, 600, s) for s in (1, 2))
+    rows = linkage.weighed(linkage.packed(train, 600).withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True))), config)
+    own = GBTClassifier(labelCol="label", weightCol="weight", maxDepth=3, stepSize=0.5, maxIter=60, seed=42, validationIndicatorCol="held", validationTol=0.0)
+    want = Pipeline(stages=[VectorAssembler(inputCols=list(linkage.features_of.NAMES), outputCol="features"), own]).fit(rows)
+    got = linkage.fit(train, config, held)
+    assert 1 < got.stages[-1].getNumTrees == want.stages[-1].getNumTrees < 60
+    assert got.stages[-1].treeWeights == want.stages[-1].treeWeights and got.stages[-1].getMaxIter() == 60
+    p = lambda m: [r.p for r in linkage.score(m, held.withColumn("k", F.xxhash64(*linkage.features_of.NAMES))).orderBy("k").collect()]
+    assert p(got) == pytest.approx(p(want), abs=1e-9)
+    files.save_model(got, str(tmp_path / "model"))
+    assert p(files.load_model(str(tmp_path / "model"))) == p(got)
+    assert linkage.fit(train, config, held.limit(0)).stages[-1].getNumTrees == 60
+
+
+def test_fit_starts_few_tasks_a_step(spark):
+    train, held = (_noisy_pairs(spark, 400, s) for s in (3, 4))
+    train.count(), held.count()
+    sc, tasks = spark.sparkContext, {}
+    for steps in (2, 12):
+        sc.setJobGroup(f"fit-{steps}", "fit")
+        linkage.fit(train, files.Config(trees=steps, learning_rate=0.01), held)
+        info = sc.statusTracker()
+        stages = [s for j in info.getJobIdsForGroup(f"fit-{steps}") for s in info.getJobInfo(j).stageIds]
+        tasks[steps] = sum(x.numCompletedTasks for s in stages if (x := info.getStageInfo(s)))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < tasks[12] - tasks[2] <= 10 * 12
+
+
+def test_features_make_sets_once_a_profile(spark):
+    """Grams were cut for each pair, and the sets met again for each use."""
+    data = linkage.link_profiles(files.drop_labels(Q.raw_events(spark, DATA)), Q.Scratch(spark))
+    built = features.build_features(blocking.candidate_pairs(data.profiles, data.sites), data.profiles, data.sites)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "transform(" not in plan and plan.count("array_intersect") == 12
+
+
+def test_features_of_missing_values(spark):
+    data = linkage.link_profiles(files.drop_labels(Q.raw_events(spark, DATA)), Q.Scratch(spark))
+    none = data.profiles.select(*[F.lit(None).cast(t).alias(n) if n in features.USED else F.col(n) for n, t in data.profiles.dtypes])
+    row = features.build_features(spark.createDataFrame([("0", "1")], "a string, b string"), none, data.sites.limit(0)).first().asDict()
+    same = {n for n in features.NAMES if n.endswith("_jaccard")}
+    assert row["last_event_diff_days"] is None
+    assert {n for n in features.NAMES if row[n] == 1.0} == same and all(row[n] == 0.0 for n in features.NAMES if n not in same | {"last_event_diff_days"})
